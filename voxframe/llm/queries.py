@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language, packing, quality, sharding, simhash, token_files
+from . import chat, decontamination, html_blocks, language, licenses, packing, quality, sharding, simhash, token_files
 from ._common import table
 from .tokenization import vocabulary_path
 
@@ -16,6 +16,18 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"), end_id=1)
 
@@ -45,6 +57,9 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_chat": op2_chat,
+    "op3_licenses": op3_licenses,
+    "op4_html": op4_html,
     "op5_packing": op5_packing,
     "op6_quality": op6_quality,
     "op7_decontamination": op7_decontamination,
@@ -53,4 +68,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language": op10_language,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_decontamination": decontamination.digest_sql()}
+
+
+def oracle_sql() -> dict[str, str]:
+    """A function, as the licence scan's SQL holds a classifier that is trained first."""
+    return {
+        "op2_chat": chat.rotate_sql(),
+        "op3_licenses": licenses.scan_sql(),
+        "op7_decontamination": decontamination.digest_sql(),
+    }
