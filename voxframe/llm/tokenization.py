@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
+from itertools import repeat
 
 import numpy as np
 
@@ -34,10 +36,10 @@ class WordMemo:
     """encode_all(texts): for each text its ids as little-endian unsigned bytes; null counts as empty.
 
     leading_space: True for vocabularies whose words carry the blank before them (byte-level), False for those that
-    drop white space (word-end). limit bounds the memo; a full one starts anew.
+    drop white space (word-end). limit bounds the memo (some 170 bytes a part); a full one starts anew.
     """
 
-    def __init__(self, path: str, leading_space: bool, dtype: str = "<u4", limit: int = 500_000):
+    def __init__(self, path: str, leading_space: bool, dtype: str = "<u4", limit: int = 1_000_000):
         self.tokenizer, self.dtype, self.limit = load(path), np.dtype(dtype), limit
         self.parts = (LEADING if leading_space else DROPPED).findall
         self.memo: dict[str, bytes] = {}
@@ -46,24 +48,22 @@ class WordMemo:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def learn(self, parts: list[str]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
-        raw, size, at = np.array([i for x in ids for i in x], self.dtype).tobytes(), self.dtype.itemsize, 0
-        for part, x in zip(parts, ids):
-            self.memo[part] = raw[at : (at := at + len(x) * size)]
+        kind = {2: "H", 4: "I"}[self.dtype.itemsize]
+        for part, found in zip(parts, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)):
+            self.memo[part] = array(kind, found.ids).tobytes()
 
     def encode_all(self, texts: list[str | None], block: int = 128) -> list[bytes]:
         out: list[bytes] = []
         for at in range(0, len(texts), block):
             cut = [self.parts(t) if t else [] for t in texts[at : at + block]]
-            there = set().union(*cut)
-            missing = there.difference(self.memo)
+            found = [list(map(self.memo.get, c, repeat(b""))) for c in cut]
+            missing = {p for c, f in zip(cut, found) if not all(f) for p, v in zip(c, f) if not v}
             if len(self.memo) + len(missing) > self.limit:
-                self.memo.clear()
-                missing = there
+                self.memo.clear()  # what was found already stays in ``found``
             if missing:
                 self.learn(list(missing))
-            get = self.memo.__getitem__
-            out += [b"".join(map(get, c)) for c in cut]
+            now = self.memo
+            out += [b"".join(f if all(f) else [v or now[p] for p, v in zip(c, f)]) for c, f in zip(cut, found)]
         return out
 
 
