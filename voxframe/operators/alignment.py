@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxframe.functions import fixed_values as V
+from voxframe.functions.lazy import pandas_udf
 
 #: Cells of a matrix that is kept whole for the walk back.
 CELLS = 4_000_000
@@ -102,7 +103,7 @@ def counts(chunks: list[tuple[str, int, int, int, int]]) -> tuple[int, int, int,
     return n["equal"], n["substitute"], n["insert"], n["delete"], (n["substitute"] + n["insert"] + n["delete"]) / words if words else None
 
 
-@F.pandas_udf(RESULT)
+@pandas_udf(RESULT)
 def align_words(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
     rows = []
     for r, h in zip(ref, hyp):
@@ -111,7 +112,7 @@ def align_words(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["hits", "sub", "ins", "del", "wer", "chunks"])
 
 
-@F.pandas_udf("long")
+@pandas_udf("long")
 def word_distance(ref: pd.Series, hyp: pd.Series) -> pd.Series:
     """The distance alone: memory is one row."""
     out = []

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxframe.functions import frames as S
+from voxframe.functions.lazy import pandas_udf
 
 LUFS_TARGET = -23.0
 
@@ -143,7 +144,8 @@ def suppress_crosstalk(left: np.ndarray, right: np.ndarray, alpha: float = 1.75,
     """Each channel fades out of frames that it does not dominate."""
     zl, zr = stft(left), stft(right)
     el, er = np.abs(zl).sum(0), np.abs(zr).sum(0)
-    smooth = lambda m: np.convolve(m, np.ones(window) / window, "same")
+    half = window // 2
+    smooth = lambda m: np.convolve(m, np.ones(window) / window)[half : half + len(m)]
     keep_l, keep_r = smooth(1.0 * (el > alpha * er)), smooth(1.0 * (er > alpha * el))
     return tuple(np.clip(istft(z * m, len(x)), -1, 1) for z, m, x in ((zl, keep_l, left), (zr, keep_r, right)))
 
@@ -201,12 +203,12 @@ def clean_stereo(audio: DataFrame, keys: list[str], alpha: float = 1.75) -> Data
     return audio.select(*keys, "left", "right").mapInPandas(run, f"{types}, left array<float>, right array<float>")
 
 
-@F.pandas_udf("array<float>")
+@pandas_udf("array<float>")
 def resampled(samples: pd.Series, rate: pd.Series) -> pd.Series:
     return pd.Series([resample(np.asarray(x, np.float64), int(r)).tolist() for x, r in zip(samples, rate)])
 
 
-@F.pandas_udf("array<double>")
+@pandas_udf("array<double>")
 def frame_energy(samples: pd.Series, rate: pd.Series) -> pd.Series:
     """Energy in dB of frames of 50 ms, of samples as 16-bit integers."""
     out = []

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxframe.functions import text as T
+from voxframe.functions.lazy import pandas_udf
 from voxframe.operators import segments as G
 
 #: Python's line ends.
@@ -27,7 +28,7 @@ def read_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return files.select(F.regexp_extract("path", r"([^/]*?)(\.[^./]*)?$", 1).alias("name"), "path", "content")
 
 
-@F.pandas_udf("text string, encoding string")
+@pandas_udf("text string, encoding string")
 def decoded(content: pd.Series) -> pd.DataFrame:
     """Bytes as text by the first encoding that reads them."""
     rows = []
@@ -43,7 +44,7 @@ def decoded(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["text", "encoding"])
 
 
-@F.pandas_udf("encoding string, confidence double")
+@pandas_udf("encoding string, confidence double")
 def guessed_encoding(content: pd.Series) -> pd.DataFrame:
     """A plain guess: marks, valid UTF-8, then which of two legacy code pages has fewer control characters."""
     rows = []
@@ -68,7 +69,7 @@ def guessed_encoding(content: pd.Series) -> pd.DataFrame:
 def decode_as(content, encoding: str):
     """Bytes as text by a named encoding, unreadable ones replaced."""
 
-    @F.pandas_udf("string")
+    @pandas_udf("string")
     def read(c: pd.Series) -> pd.Series:
         return c.map(lambda raw: None if raw is None else bytes(raw).decode(encoding, "replace"))
 
@@ -188,7 +189,7 @@ def read_variant_map(spark: SparkSession, path: str) -> DataFrame:
     return variant_map(files.select(decode_ignoring("content").alias("text")))
 
 
-@F.pandas_udf("string")
+@pandas_udf("string")
 def decode_ignoring(content: pd.Series) -> pd.Series:
     return content.map(lambda raw: bytes(raw or b"").decode("utf-8", "ignore"))
 
