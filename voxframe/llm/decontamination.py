@@ -145,11 +145,9 @@ class SuffixAutomaton:
                         reach = max(reach, short)
                 if reach:
                     a = i + 1 - reach
-                    if spans and spans[-1][1] >= a:
-                        spans[-1][0] = min(spans[-1][0], a)
-                        spans[-1][1] = i + 1
-                    else:
-                        spans.append([a, i + 1])
+                    while spans and spans[-1][1] >= a:  # a long window may reach over several short items' spans
+                        a = min(a, spans.pop()[0])
+                    spans.append([a, i + 1])
             at = stop + 1
         return [(a, b) for a, b in spans], found, longest
 
