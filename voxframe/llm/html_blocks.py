@@ -97,7 +97,7 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
                     pop()
                 pop()
             continue
-        if tag in VOID or rest.endswith("/"):
+        if tag in VOID:
             continue
         if tag not in INLINE and stack:
             ended = ENDS.get(tag, set()) | {"p"}
@@ -112,9 +112,6 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             if tag in HIDDEN:
                 at = end.end() if end else size
-            elif end:
-                at = at  # its text is read as a block
-            if tag in HIDDEN:
                 continue
         names = [w for m in NAMES.finditer(rest) for g in m.groups() if g for w in PART.findall(g.lower())]
         stack.append((tag, (tag, *("." + w for w in names))))
