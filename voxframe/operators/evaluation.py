@@ -56,14 +56,14 @@ def offset_compensation(pairs: DataFrame, keys: list[str], trims: int = V.OFFSET
     least rate, then the longest matching start, then the first in order.
     """
     options = [(0, 0)] + [x for t in range(1, trims + 1) for x in ((t, 0), (0, t))]
-    tries = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(r).alias("ref_trim"), F.lit(h).alias("hyp_trim")) for k, (r, h) in enumerate(options)])
+    tries = F.array(*[F.struct(F.lit(k).alias("_k"), F.lit(r).alias("ref_trim"), F.lit(h).alias("hyp_trim")) for k, (r, h) in enumerate(options)])
     rows = pairs.select(*keys, "ref", "hyp", F.inline(tries))
     rows = rows.withColumn("ref", T.drop_words(F.col("ref"), F.col("ref_trim"))).withColumn("hyp", T.drop_words(F.col("hyp"), F.col("hyp_trim")))
-    rows = rows.where((F.col("k") == 0) | ((F.size("ref") > 0) & (F.size("hyp") > 0)))
+    rows = rows.where((F.col("_k") == 0) | ((F.size("ref") > 0) & (F.size("hyp") > 0)))
     prefix = T.prefix_matches(F.col("ref"), F.col("hyp"))
-    rated = word_error_rates(rows.withColumn("prefix", prefix), [*keys, "k", "ref_trim", "hyp_trim", "prefix"]).withColumn("wer", F.coalesce("wer", F.lit(0.0)))
+    rated = word_error_rates(rows.withColumn("prefix", prefix), [*keys, "_k", "ref_trim", "hyp_trim", "prefix"]).withColumn("wer", F.coalesce("wer", F.lit(0.0)))
     one = F.struct("ref_trim", "hyp_trim", "wer", "prefix")
-    best = rated.groupBy(*keys).agg(F.min_by(one, F.struct(F.round("wer", 12), -F.col("prefix"), "k")).alias("b"), F.max(F.when(F.col("k") == 0, F.struct("wer", "prefix"))).alias("o"))
+    best = rated.groupBy(*keys).agg(F.min_by(one, F.struct(F.round("wer", 12), -F.col("prefix"), "_k")).alias("b"), F.max(F.when(F.col("_k") == 0, F.struct("wer", "prefix"))).alias("o"))
     gain = F.col("o.wer") - F.col("b.wer")
     use = ((F.col("b.ref_trim") + F.col("b.hyp_trim")) > 0) & (gain >= V.OFFSET_IMPROVEMENT) & (F.col("b.prefix") >= F.col("o.prefix"))
     return best.select(*keys, F.col("o.wer").alias("base_wer"), F.col("b.wer").alias("comp_wer"), "b.ref_trim", "b.hyp_trim", gain.alias("improvement"), F.col("o.prefix").alias("base_prefix"), F.col("b.prefix").alias("comp_prefix"), use.alias("use"))
