@@ -54,8 +54,9 @@ def clip_by_ratio(text: Column, start: Column, end: Column, lo: Column, hi: Colu
 def window_text(segments: DataFrame, keys: list[str], lo: Column, hi: Column) -> DataFrame:
     """Per group the text inside the window, clipped."""
     text = T.clean_text(F.col("text"))
-    rows = segments.select(*keys, "seq", "start", "end", text.alias("text")).where((F.col("text") != "") & in_window(F.col("start"), F.col("end"), lo, hi))
-    rows = rows.withColumn("text", clip_by_ratio(F.col("text"), F.col("start"), F.col("end"), lo, hi)).where("text <> ''")
+    rows = segments.select(*keys, "seq", "start", "end", text.alias("text"), lo.alias("_lo"), hi.alias("_hi"))
+    window = (F.col("start"), F.col("end"), F.col("_lo"), F.col("_hi"))
+    rows = rows.where((F.col("text") != "") & in_window(*window)).withColumn("text", clip_by_ratio(F.col("text"), *window)).where("text <> ''")
     return rows.groupBy(*keys).agg(joined("text").alias("text"))
 
 

@@ -25,18 +25,21 @@ def _lines(top: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def text_report(aligned: DataFrame, keys: list[str], title: str = "ASR Evaluation Report") -> DataFrame:
-    """keys, report. aligned has ref, hyp, hits, sub, ins, del, wer, chunks, and may have ``head`` lines of its own."""
+    """keys, report. aligned has ref, hyp, hits, sub, ins, del, wer, chunks; it may have lines of its own as arrays: ``head``
+    before the figures, ``stats`` after the rate, ``warnings``."""
     top = A.top_errors(A.errors(aligned, keys), keys)
     rows = aligned.join(_lines(top, keys), keys, "left").join(A.examples(top, keys), keys, "left")
     none = F.array().cast("array<string>")
-    head = F.col("head") if "head" in aligned.columns else none
+    own = lambda name: F.coalesce(name, none) if name in aligned.columns else none
+    head, stats, warnings = own("head"), own("stats"), own("warnings")
+    warned = F.when(F.size(warnings) == 0, none).otherwise(F.concat(F.array(F.lit(""), F.lit("Warnings:")), F.transform(warnings, lambda x: F.concat(F.lit("- "), x))))
     shown = F.coalesce("examples", none)
     numbered = F.when(F.size(shown) == 0, F.array(F.lit("(Nenalezeny žádné ukázky)"))).otherwise(F.transform(shown, lambda x, i: F.format_string("%d. %s", i + 1, x)))
     ref, hyp = T.preview(F.col("ref")), T.preview(F.col("hyp"))
     say = lambda *parts: F.array(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
     body = F.concat(
-        say(title, WIDE), head, say(THIN, F.concat(F.lit("WER: "), F.coalesce(percent(F.col("wer")), F.lit("n/a"))),
-        F.format_string("Word counts: REF=%d | HYP=%d", F.size("ref"), F.size("hyp")), F.format_string("HITS: %d | SUB: %d | INS: %d | DEL: %d", "hits", "sub", "ins", "del"), "", "Kvalitativní ukázky (2-3):"), numbered,
+        say(title, WIDE), head, say(THIN, F.concat(F.lit("WER: "), F.coalesce(percent(F.col("wer")), F.lit("n/a")))), stats,
+        say(F.format_string("HITS: %d | SUB: %d | INS: %d | DEL: %d", "hits", "sub", "ins", "del")), warned, say("", "Kvalitativní ukázky (2-3):"), numbered,
         say("", "Začátek srovnání:", F.concat(F.lit("REF: "), ref["head"]), F.concat(F.lit("HYP: "), hyp["head"]), "", "Konec srovnání:", F.concat(F.lit("REF: "), ref["tail"]), F.concat(F.lit("HYP: "), hyp["tail"]), "", "Top substitutions:"),
         F.coalesce("top_substitute", none), say("", "Top deletions:"), F.coalesce("top_delete", none), say("", "Top insertions:"), F.coalesce("top_insert", none),
     )
