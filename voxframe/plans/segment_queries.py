@@ -277,3 +277,44 @@ SELECT recording, k * {_D(360.0)} AS start, least(duration, (k + 1) * {_D(360.0)
     "to_absolute": f"""WITH {SEGMENTS}, c AS (SELECT recording, seq, floor(start / 10) * {_D(10.0)} AS cs, start - floor(start / 10) * {_D(10.0)} AS a, "end" - floor(start / 10) * {_D(10.0)} AS b FROM segments),
 p AS (SELECT recording, seq, least(cs + {_D(7.5)}, greatest(cs, cs + a)) AS start, least(cs + {_D(7.5)}, greatest(cs, cs + b)) AS "end" FROM c) SELECT * FROM p WHERE "end" > start""",
 }
+
+# Folds as recursions over places, an independent reading of the same rules.
+_keyed = lambda x: rf"list_transform({x}, lambda w: regexp_replace(lower(w), '[^\p{{L}}\p{{N}}_]', '', 'g'))"
+ORACLE_SQL |= {
+    "cross_channel_dedup": f"""WITH RECURSIVE {SEGMENTS},
+u AS (SELECT recording, seq, speaker, start, "end", text FROM segments UNION ALL
+  SELECT recording, seq + 100, CASE speaker WHEN 'interviewer' THEN 'interviewee' ELSE 'interviewer' END, start + CASE WHEN seq % 2 = 0 THEN {_D(0.5)} ELSE {_D(1.5)} END, "end", text FROM segments),
+n AS (SELECT recording, seq, speaker, start, "end", {norm_sql('text')} AS norm FROM u),
+o AS (SELECT *, row_number() OVER (PARTITION BY recording, norm ORDER BY start, "end", seq) AS k FROM n WHERE norm <> ''),
+f(recording, norm, k, kept, dup) AS (
+  SELECT DISTINCT recording, norm, CAST(0 AS BIGINT), CAST([] AS STRUCT(s DOUBLE, e DOUBLE, p VARCHAR)[]), true FROM o
+  UNION ALL
+  SELECT recording, norm, k, CASE WHEN dup THEN kept ELSE list_append(kept, {{'s': start, 'e': "end", 'p': speaker}}) END, dup FROM (
+    SELECT o.recording, o.norm, o.k, o.start, o."end", o.speaker, f.kept, len(list_filter(f.kept, lambda x: o.start - x.s <= 1.0 AND o."end" >= x.s AND o.start <= x.e AND o.speaker <> x.p)) > 0 AS dup
+    FROM f JOIN o ON o.recording = f.recording AND o.norm = f.norm AND o.k = f.k + 1))
+SELECT o.recording, o.seq, o.speaker, o.start FROM o JOIN f USING (recording, norm, k) WHERE NOT f.dup""",
+    "vad_chunks": f"""WITH RECURSIVE {_WINDOWS},
+w AS (SELECT recording, greatest({_D(0.0)}, start) AS a, least({_D(1300.0)}, "end") AS b FROM windows),
+o AS (SELECT *, row_number() OVER (PARTITION BY recording ORDER BY a, b) AS k FROM w WHERE b > a),
+fold(recording, k, cs, ce, done) AS (
+  SELECT DISTINCT recording, CAST(0 AS BIGINT), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST([] AS DOUBLE[][]) FROM o
+  UNION ALL
+  SELECT recording, k, ns + n * {_D(60.0)}, ne, list_concat(closed, list_transform(range(0, n), lambda i: [ns + i * {_D(60.0)}, ns + (i + 1) * {_D(60.0)}])) FROM (
+    SELECT *, CASE WHEN ne - ns > 60.0 THEN CAST(ceil((ne - ns) / {_D(60.0)}) AS BIGINT) - 1 ELSE 0 END AS n FROM (
+      SELECT o.recording, o.k, CASE WHEN cs IS NULL OR b - cs > 60.0 THEN a ELSE cs END AS ns, CASE WHEN cs IS NULL OR b - cs > 60.0 THEN b ELSE greatest(ce, b) END AS ne,
+        CASE WHEN b - cs > 60.0 THEN [[cs, ce]] ELSE CAST([] AS DOUBLE[][]) END AS closed FROM fold JOIN o ON o.recording = fold.recording AND o.k = fold.k + 1))),
+chunks AS (SELECT recording, unnest(done) AS p FROM fold UNION ALL SELECT recording, [cs, ce] FROM (SELECT *, row_number() OVER (PARTITION BY recording ORDER BY k DESC) AS z FROM fold) WHERE z = 1 AND ce > cs)
+SELECT recording, p[1] AS start, p[2] AS "end" FROM chunks""",
+    "boundary_trim": rf"""WITH RECURSIVE {SEGMENTS},
+x AS (SELECT *, list_filter(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), lambda w: w <> '') AS ws FROM segments),
+l AS (SELECT *, concat_ws(' ', lag(array_to_string(ws[greatest(len(ws) - 2, 1) : greatest(len(ws) - 2, 1) + 8], ' ')) OVER (PARTITION BY recording ORDER BY seq), text) AS led FROM x),
+o AS (SELECT *, list_filter(string_split(trim(regexp_replace(led, '\s+', ' ', 'g')), ' '), lambda w: w <> '') AS lw, row_number() OVER (PARTITION BY recording ORDER BY seq) AS k FROM l WHERE led <> ''),
+f(recording, k, before, out) AS (
+  SELECT DISTINCT recording, CAST(0 AS BIGINT), '', '' FROM o
+  UNION ALL
+  SELECT recording, k, CASE WHEN t = '' THEN before ELSE t END, t FROM (
+    SELECT recording, k, before, CASE WHEN n > 0 THEN array_to_string(lw[n + 1 :], ' ') ELSE led END AS t FROM (
+      SELECT *, coalesce(list_max(list_filter(range(1, {V.BOUNDARY_WORDS} + 1), lambda j: j <= len(pk) AND j <= len(ck) AND pk[len(pk) - j + 1 : len(pk)] = ck[1 : j])), 0) AS n FROM (
+        SELECT o.recording, o.k, f.before, o.led, o.lw, {_keyed('o.lw')} AS ck, {_keyed(r"list_filter(string_split(trim(regexp_replace(f.before, '\s+', ' ', 'g')), ' '), lambda w: w <> '')")} AS pk FROM f JOIN o ON o.recording = f.recording AND o.k = f.k + 1))))
+SELECT o.recording, o.seq, o.id, o.speaker, o.start, o."end", f.out AS text FROM o JOIN f USING (recording, k) WHERE f.out <> ''""",
+}
