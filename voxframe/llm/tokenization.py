@@ -32,30 +32,60 @@ def load(path: str):
     return tokenizer
 
 
+def lowered(text: str) -> str:
+    """In lower case, where Python and the word-end vocabulary are sure to agree on it: in Latin-1 letters."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
 class WordMemo:
     """encode_all(texts): for each text its ids as little-endian unsigned bytes; null counts as empty.
 
     leading_space: True for vocabularies whose words carry the blank before them (byte-level), False for those that
-    drop white space (word-end). limit bounds the memo (some 170 bytes a part); a full one starts anew.
+    drop white space and case (word-end). limit bounds the memo (some 170 bytes a part); a full one starts anew.
     """
 
     def __init__(self, path: str, leading_space: bool, dtype: str = "<u4", limit: int = 1_000_000):
         self.tokenizer, self.dtype, self.limit = load(path), np.dtype(dtype), limit
-        self.parts = (LEADING if leading_space else DROPPED).findall
+        self.parts, self.leading = (LEADING if leading_space else DROPPED).findall, leading_space
         self.memo: dict[str, bytes] = {}
+        # ids that begin a word with its blank (U+0120 in the byte-level alphabet), or that end a word
+        vocabulary = self.tokenizer.get_vocab()
+        self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.edge[[i for t, i in vocabulary.items() if (t[0] == "Ġ" if leading_space else t.endswith("</w>"))]] = True
 
     def plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def learn(self, parts: list[str]) -> None:
-        kind = {2: "H", 4: "I"}[self.dtype.itemsize]
-        for part, found in zip(parts, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)):
+    def learn(self, parts: list[str], run: int = 512) -> None:
+        """Words of letters alone are encoded many in a row, and told apart by their first or last ids."""
+        if self.leading:
+            words = [p for p in parts if p[0] == " " and p[1:].isalpha()]
+            rest = [p for p in parts if not (p[0] == " " and p[1:].isalpha())]
+        else:
+            words, rest = [p for p in parts if p.isalpha()], [p for p in parts if not p.isalpha()]
+        runs = [words[a : a + run] for a in range(0, len(words), run)]
+        size = self.dtype.itemsize
+        for some, found in zip(runs, self.tokenizer.encode_batch_fast([("" if self.leading else " ").join(r) for r in runs], add_special_tokens=False)):
+            ids = np.array(found.ids, self.dtype)
+            cuts = np.flatnonzero(self.edge[ids]) * size
+            if len(cuts) != len(some):  # some word is more than one to the vocabulary
+                rest += some
+                continue
+            raw = ids.tobytes()
+            cuts = [*cuts.tolist(), len(raw)] if self.leading else [0, *(cuts + size).tolist()]
+            self.memo.update(zip(some, [raw[a:b] for a, b in zip(cuts, cuts[1:])]))
+        kind = {2: "H", 4: "I"}[size]
+        for part, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
             self.memo[part] = array(kind, found.ids).tobytes()
 
     def encode_all(self, texts: list[str | None], block: int = 128) -> list[bytes]:
         out: list[bytes] = []
         for at in range(0, len(texts), block):
-            cut = [self.parts(t) if t else [] for t in texts[at : at + block]]
+            cut = [self.parts(t if self.leading else lowered(t)) if t else [] for t in texts[at : at + block]]
             found = [list(map(self.memo.get, c, repeat(b""))) for c in cut]
             missing = {p for c, f in zip(cut, found) if not all(f) for p, v in zip(c, f) if not v}
             if len(self.memo) + len(missing) > self.limit:
