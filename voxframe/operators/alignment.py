@@ -156,29 +156,25 @@ def examples(top: DataFrame, keys: list[str]) -> DataFrame:
     return first.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(place.alias("k"), line.alias("line")))), lambda x: x["line"]).alias("examples"))
 
 
-def canonical(token: Column, mapping: Column) -> Column:
-    return F.coalesce(mapping, token)
-
-
-def equivalent_pairs(aligned: DataFrame, mapping: DataFrame, keys: list[str], ref: str = "ref", hyp: str = "hyp") -> DataFrame:
-    """Places of substituted words that a variant map holds for the same: keys, at (in hyp), word (of ref).
+def apply_variants(aligned: DataFrame, mapping: DataFrame, keys: list[str], ref: str = "ref", hyp: str = "hyp") -> DataFrame:
+    """aligned with corrected (hyp in which substituted words that a map holds for the same are said as in ref),
+    spans_checked and tokens_replaced.
 
-    mapping: variant, canonical (unique variants). Two look-ups; Spark broadcasts the map if it is small enough.
+    mapping: variant, canonical (unique variants). Substituted words are looked up as rows and gathered again by key; a
+    pair's other columns travel with its first word, so the alignment is read once and not joined with itself. Spark
+    broadcasts the map if it is small enough.
     """
-    chunk = F.explode("chunks").alias("c")
-    spans = aligned.select(*keys, ref, hyp, chunk).where((F.col("c.op") == "substitute") & (F.col("c.re") - F.col("c.rs") == F.col("c.he") - F.col("c.hs")))
-    each = spans.select(*keys, ref, hyp, "c", F.explode(F.sequence(F.lit(0), F.col("c.re") - F.col("c.rs") - 1)).alias("i"))
-    words = each.select(*keys, (F.col("c.hs") + F.col("i")).alias("at"), F.element_at(F.col(ref), F.col("c.rs") + F.col("i") + 1).alias("word"), F.element_at(F.col(hyp), F.col("c.hs") + F.col("i") + 1).alias("said"))
+    same_size = F.filter("chunks", lambda c: (c["op"] == "substitute") & (c["re"] - c["rs"] == c["he"] - c["hs"]))
+    each = lambda c: F.transform(F.sequence(F.lit(0), c["re"] - c["rs"] - 1), lambda i: F.struct((c["hs"] + i).alias("at"), F.element_at(F.col(ref), c["rs"] + i + 1).alias("word"), F.element_at(F.col(hyp), c["hs"] + i + 1).alias("said")))
+    others = [c for c in aligned.columns if c not in keys]
+    rows = aligned.select(*keys, F.struct(*others).alias("_row"), F.posexplode_outer(F.flatten(F.transform(same_size, each))).alias("_i", "_x"))
+    rows = rows.withColumn("_row", F.when(F.coalesce("_i", F.lit(0)) == 0, F.col("_row")))
     left = mapping.select(F.col("variant").alias("_v1"), F.col("canonical").alias("_c1"))
     right = mapping.select(F.col("variant").alias("_v2"), F.col("canonical").alias("_c2"))
-    joined = words.join(left, F.lower("word") == F.col("_v1"), "left").join(right, F.lower("said") == F.col("_v2"), "left")
-    same = F.coalesce("_c1", F.lower("word")) == F.coalesce("_c2", F.lower("said"))
-    return joined.where(same & (F.col("word") != F.col("said"))).select(*keys, "at", "word")
-
-
-def apply_variants(aligned: DataFrame, mapping: DataFrame, keys: list[str], ref: str = "ref", hyp: str = "hyp") -> DataFrame:
-    """aligned with corrected (hyp with equivalent words said as in ref), spans_checked and tokens_replaced."""
-    found = equivalent_pairs(aligned, mapping, keys, ref, hyp).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("at", "word"))).alias("_fix"))
-    out = aligned.join(found, keys, "left")
+    rows = rows.join(left, F.lower("_x.word") == F.col("_v1"), "left").join(right, F.lower("_x.said") == F.col("_v2"), "left")
+    same = (F.coalesce("_c1", F.lower("_x.word")) == F.coalesce("_c2", F.lower("_x.said"))) & (F.col("_x.word") != F.col("_x.said"))
+    fix = F.when(same, F.struct("_x.at", "_x.word"))
+    out = rows.groupBy(*keys).agg(F.first("_row", True).alias("_row"), F.map_from_entries(F.collect_list(fix)).alias("_fix")).select(*keys, "_row.*", "_fix")
     fixed = F.transform(F.col(hyp), lambda w, i: F.coalesce(F.try_element_at(F.col("_fix"), i), w))
-    return out.withColumn("corrected", F.when(F.col("_fix").isNull(), F.col(hyp)).otherwise(fixed)).withColumn("spans_checked", F.size(F.filter("chunks", lambda c: c["op"] == "substitute"))).withColumn("tokens_replaced", F.when(F.col("_fix").isNull(), 0).otherwise(F.size("_fix"))).drop("_fix")
+    spans = F.size(F.filter("chunks", lambda c: c["op"] == "substitute"))
+    return out.withColumn("corrected", F.when(F.size("_fix") == 0, F.col(hyp)).otherwise(fixed)).withColumn("spans_checked", spans).withColumn("tokens_replaced", F.size("_fix")).drop("_fix")

@@ -36,9 +36,10 @@ def corrected(pairs: DataFrame, mapping: DataFrame, keys: list[str], name: str)
     present hyp, and get those of the accepted one. Only pairs in which a word changed are aligned again.
     """
     tried = A.apply_variants(pairs, mapping, keys)
-    again = tried.where("tokens_replaced > 0").withColumn("_n", A.align_words(F.col("ref"), F.col("corrected")))
-    same = tried.where("tokens_replaced = 0").withColumn("_n", F.struct(*[F.col(c) for c in [*METRICS, "chunks"]]).cast(A.RESULT_STRUCT))
-    both = again.unionByName(same)
+    changed = F.col("tokens_replaced") > 0
+    # pairs in which nothing changed go through the UDF as nulls, at no cost, so that all rows are read once
+    again = tried.withColumn("_u", A.align_words(F.when(changed, F.col("ref")), F.when(changed, F.col("corrected"))))
+    both = again.withColumn("_n", F.when(changed, F.col("_u")).otherwise(F.struct(*[F.col(c) for c in [*METRICS, "chunks"]]).cast(A.RESULT_STRUCT)))
     use = F.col("_n.wer") <= F.col("wer")
     rest = [c for c in pairs.columns if c not in (*METRICS, "chunks", "hyp")]
     pick = lambda c: F.when(use, F.col(f"_n.{c}")).otherwise(F.col(c)).alias(c)
