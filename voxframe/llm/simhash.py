@@ -208,7 +208,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     joined = distinct.join(roots.withColumnRenamed("node", "fp"), "fp").select("fp", "root", "least")
     names = joined.groupBy("root").agg(F.min("least").alias("name"))
     moved = written(joined.join(names, "root").select("fp", "name"), "components")
-    named = distinct.join(moved, "fp", "left").select("fp", F.coalesce("name", "least").alias("component_id"))
+    # written, so that the last join is between two plain shuffles, of which Spark splits a hot fingerprint's
+    named = written(distinct.join(moved, "fp", "left").select("fp", F.coalesce("name", "least").alias("component_id")), "names")
     return marked.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
