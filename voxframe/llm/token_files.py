@@ -46,31 +46,38 @@ def _file_system(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def _publish(local: str, folder: str, name: str) -> None:
-    store, path = _file_system(folder)
-    if store is None:
-        os.makedirs(path, exist_ok=True)
-        import shutil
-
-        shutil.copyfile(local, f"{path}/{name}.part")
-        os.replace(f"{path}/{name}.part", f"{path}/{name}")
-    else:
-        with open(local, "rb") as a, store.open_output_stream(f"{path}/{name}") as b:
-            while chunk := a.read(1 << 22):
-                b.write(chunk)
+class _Sink:
+    """One file of the shared store, written as a stream. On mounted folders it gets its name when it is whole."""
+
+    def __init__(self, folder: str, name: str):
+        store, path = _file_system(folder)
+        self.path = f"{path}/{name}"
+        self.mounted = store is None
+        if self.mounted:
+            os.makedirs(path, exist_ok=True)
+        else:
+            store.create_dir(path, recursive=True)
+        self.out = open(f"{self.path}.part", "wb") if self.mounted else store.open_output_stream(self.path)
+        self.write = self.out.write
+
+    def close(self) -> None:
+        self.out.close()
+        if self.mounted:
+            os.replace(f"{self.path}.part", self.path)
 
 
 def open_map(folder: str, name: str, dtype: str) -> np.ndarray:
-    """A memory map of one file; from a remote store the file is first copied to this machine."""
+    """A memory map of one file. Of a remote store's file, a nameless copy is mapped that goes with the map."""
     store, path = _file_system(folder)
     path = f"{path}/{name}"
-    if store is not None:
-        local = os.path.join(tempfile.mkdtemp(), name)
-        with store.open_input_stream(path) as a, open(local, "wb") as b:
-            while chunk := a.read(1 << 22):
-                b.write(chunk)
-        path = local
-    return np.memmap(path, dtype, "r") if os.path.getsize(path) else np.zeros(0, dtype)
+    if store is None:
+        return np.memmap(path, dtype, "r") if os.path.getsize(path) else np.zeros(0, dtype)
+    copy = tempfile.TemporaryFile()
+    with store.open_input_stream(path) as source:
+        while chunk := source.read(1 << 22):
+            copy.write(chunk)
+    copy.flush()
+    return np.memmap(copy, dtype, "r") if copy.tell() else np.zeros(0, dtype)
 
 
 def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, folder: str, leading_space: bool = True, id_bits: int = 16, partitions: int | None = None) -> DataFrame:
@@ -94,20 +101,22 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, folder: str
         part, name = TaskContext.get().partitionId(), f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:12]}"
         encode = tokenization.memo(vocabulary, leading_space, dtype).encode_all
         n_docs = n_ids = 0
-        with tempfile.TemporaryDirectory() as tmp:
-            with open(f"{tmp}/bin", "wb") as ids, open(f"{tmp}/off", "wb") as offsets, open(f"{tmp}/doc", "wb") as names:
-                for batch in batches:
-                    rows = list(rows_of(batch, "doc_id", "text"))
-                    got = encode([t for _, t in rows])
-                    lengths = np.array([len(x) // (id_bits // 8) + 1 for x in got], np.int64)
-                    ids.write(end.join([*got, b""]))
-                    offsets.write((n_ids + np.cumsum(lengths) - lengths).astype("<i8").tobytes())
-                    names.write(np.array([NO_DOC if d is None else d for d, _ in rows], "<i8").tobytes())
-                    n_docs, n_ids = n_docs + len(rows), n_ids + int(lengths.sum())
-                offsets.write(np.array([n_ids], "<i8").tobytes())
-            if n_docs:
-                for kind in ("bin", "off", "doc"):
-                    _publish(f"{tmp}/{kind}", folder, f"{name}.{kind}")
+        sinks: list[_Sink] = []
+        for batch in batches:
+            rows = list(rows_of(batch, "doc_id", "text"))
+            if not rows:
+                continue
+            sinks = sinks or [_Sink(folder, f"{name}.{kind}") for kind in ("bin", "off", "doc")]
+            got = encode([t for _, t in rows])
+            lengths = np.array([len(x) // (id_bits // 8) + 1 for x in got], np.int64)
+            sinks[0].write(end.join([*got, b""]))
+            sinks[1].write((n_ids + np.cumsum(lengths) - lengths).astype("<i8").tobytes())
+            sinks[2].write(np.array([NO_DOC if d is None else d for d, _ in rows], "<i8").tobytes())
+            n_docs, n_ids = n_docs + len(rows), n_ids + int(lengths.sum())
+        if sinks:
+            sinks[1].write(np.array([n_ids], "<i8").tobytes())
+        for sink in sinks:
+            sink.close()
         if n_docs:
             yield pa.record_batch({"part": [part], "name": [name], "n_docs": [n_docs], "n_ids": [n_ids]})
 
