@@ -47,3 +47,13 @@ def test_stages(spark, small):
     assert len({r.sequence_id for r in packed}) <= 1.05 * sum(r.length for r in packed) / 4096 + 1
     again = corpus_pipeline.run(spark, small)
     assert sorted(tuple(r)[:5] for r in again.collect()) == sorted(tuple(r)[:5] for r in packed)
+
+
+def test_stages_stand_odd_documents(spark, small, documents, odd_texts):
+    """Each stage on nulls, blanks, a very long text and repeated rows, with columns of clashing names; and on no rows."""
+    for frame in (documents(odd_texts), documents([])):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, frame, small)
+            rows = out.collect()
+            assert name == "packing" or out.columns == frame.columns
+            assert frame.isEmpty() == (not rows) or name in ("language", "quality")
