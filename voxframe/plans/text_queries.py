@@ -121,7 +121,7 @@ def word_change_equivalence(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _file_name():
-    return F.concat(F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 3 == 0, F.lit("")).otherwise(F.format_string("_%03d", F.col("doc_id") % 7)), F.when(F.col("doc_id") % 2 == 0, F.lit("_MIX_full_whisper")).otherwise(F.lit(" range: (interspeech)")))
+    return F.concat(F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 3 == 0, F.lit("")).otherwise(F.format_string("_%03d", F.col("doc_id") % 7)), F.when(F.col("doc_id") % 2 == 0, F.lit("_MIX_full_whisper")).otherwise(F.lit(" range: (wav2vec)")))
 
 
 def file_names(spark: SparkSession, d: str) -> DataFrame:
@@ -164,7 +164,7 @@ SELECT speaker, token, cnt, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_nu
 p AS (SELECT recording, unnest(ws[1 : len(ws) - 1]) AS a, unnest(ws[2 :]) AS b FROM l WHERE len(ws) > 1),
 c AS (SELECT recording, CASE WHEN length(a) >= 5 THEN substring(a, 1, 4) ELSE a END AS a, CASE WHEN length(b) >= 5 THEN substring(b, 1, 4) ELSE b END AS b FROM p)
 SELECT recording, CAST(count(*) FILTER (a = b) AS BIGINT) AS equivalent, count(*) AS pairs FROM c GROUP BY recording""",
-    "file_names": r"""WITH n AS (SELECT doc_id, source, doc_id || CASE WHEN doc_id % 3 = 0 THEN '' ELSE format('_{:03d}', doc_id % 7) END || CASE WHEN doc_id % 2 = 0 THEN '_MIX_full_whisper' ELSE ' range: (interspeech)' END AS name FROM documents),
+    "file_names": r"""WITH n AS (SELECT doc_id, source, doc_id || CASE WHEN doc_id % 3 = 0 THEN '' ELSE format('_{:03d}', doc_id % 7) END || CASE WHEN doc_id % 2 = 0 THEN '_MIX_full_whisper' ELSE ' range: (wav2vec)' END AS name FROM documents),
 r AS (SELECT *, nullif(regexp_extract(name, '^(\d+_\d+|\d+)', 1), '') AS recording FROM n)
 SELECT doc_id, recording, trim(regexp_replace(name, '[^\p{L}\p{N}_.-]+', '_', 'g'), '._') AS safe, contains(lower(name), '_full_') OR ends_with(lower(name), '_full') AS is_full,
   contains(lower(name || ' ' || source), 'whisper') AS is_whisper, format('seg_{}_{:05d}', recording, doc_id) AS seg_id, format('seg_{}_{:05d}', recording, doc_id) AS rewritten FROM r""",
