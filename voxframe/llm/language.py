@@ -101,7 +101,7 @@ class Model:
     def __init__(self, languages: list[str], vocabulary: dict[str, int], p: np.ndarray, limit: int = 300_000):
         self.languages, self.vocabulary, self.p, self.limit = languages, vocabulary, p, limit
         self.known: dict[str, int] = {}
-        self.scores = np.zeros((0, len(languages)))
+        self.scores = np.zeros((0, len(languages)), np.float64)
 
     def __getstate__(self):
         return (self.languages, self.vocabulary, self.p, self.limit)
@@ -110,15 +110,18 @@ class Model:
         self.__init__(*state)
 
     def learn(self, words: set[str]) -> None:
-        if self.known and len(self.known) + len(words) > self.limit:
-            self.known.clear()
-            self.scores = self.scores[:0]
-        new = list(words)
-        found = [Lattice(new[a : a + 4096], self.vocabulary).log_likelihood(self.p) for a in range(0, len(new), 4096)]
-        self.known.update(zip(new, range(len(self.scores), len(self.scores) + len(new))))
-        self.scores = np.concatenate([self.scores, *found])
-
-    def predict(self, texts: list[str | None], block: int = 64) -> list[tuple[str, float]]:
+        """Scores of new words go behind those there are; the table is made once, at its largest size."""
+        new, at = list(words), len(self.known)
+        if at + len(new) > len(self.scores):
+            table = np.empty((max(self.limit, at + len(new)), len(self.languages)))
+            table[:at] = self.scores[:at]
+            self.scores = table
+        for a in range(0, len(new), 4096):
+            some = new[a : a + 4096]
+            self.scores[at + a : at + a + len(some)] = Lattice(some, self.vocabulary).log_likelihood(self.p)
+        self.known.update(zip(new, range(at, at + len(new))))
+
+    def predict(self, texts: list[str | None], block: int = 128) -> list[tuple[str, float]]:
         out = []
         for at in range(0, len(texts), block):
             cut = [WORD.findall(t.lower()) if t else [] for t in texts[at : at + block]]
@@ -127,7 +130,6 @@ class Model:
             if len(self.known) + len(missing) > self.limit:
                 missing = there
                 self.known.clear()
-                self.scores = self.scores[:0]
             if missing and self.languages:
                 self.learn(missing)
             for words in cut:

@@ -48,7 +48,7 @@ class WordMemo:
     drop white space and case (word-end). limit bounds the memo (some 170 bytes a part); a full one starts anew.
     """
 
-    def __init__(self, path: str, leading_space: bool, dtype: str = "<u4", limit: int = 1_000_000):
+    def __init__(self, path: str, leading_space: bool, dtype: str = "<u4", limit: int = 700_000):
         self.tokenizer, self.dtype, self.limit = load(path), np.dtype(dtype), limit
         self.parts, self.leading = (LEADING if leading_space else DROPPED).findall, leading_space
         self.memo: dict[str, bytes] = {}
