@@ -6,6 +6,8 @@ own ``\\w`` and ``\\s`` are ASCII only. Nulls count as empty texts.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,8 +29,7 @@ def collapse_space(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Words of a text, [] for a blank one."""
-    flat = collapse_space(c)
-    return F.when(flat == "", F.array().cast("array<string>")).otherwise(F.split(flat, " "))
+    return F.array_remove(F.split(collapse_space(c), " "), "")
 
 
 def clean_for_asr(c: Column) -> Column:
@@ -37,9 +38,13 @@ def clean_for_asr(c: Column) -> Column:
 
 
 def _without(c: Column, patterns: list[str]) -> Column:
+    """Without what the patterns match. One quick look for their plain words keeps most texts from the slow part; the
+    long s is the one letter that ignoring case equates with another and lower() leaves."""
+    plain = "|".join(re.sub(r"\\b|\.\*", "", p) for p in patterns)
+    out = c
     for p in patterns:  # (?d): a dot stops at line ends alone; (?U): word boundaries know all letters
-        c = F.regexp_replace(c, f"(?idU){p}", " ")
-    return c
+        out = F.regexp_replace(out, f"(?idU){p}", " ")
+    return F.when(F.lower(c).rlike(f"{plain}|ſ"), out).otherwise(c)
 
 
 def normalize_common(c: Column, patterns: list[str] | None = None) -> Column:
@@ -54,10 +59,10 @@ def normalize_common(c: Column, patterns: list[str] | None = None) -> Column:
 def collapse_letters(words: Column) -> Column:
     """Letter names become letters, and two or more single letters in a row one word; takes and gives an array."""
     names = F.create_map(*[F.lit(x) for pair in V.LETTER_NAMES.items() for x in pair])
-    longest = max(map(len, V.LETTER_NAMES))
-    mapped = F.transform(words, lambda w: F.when(F.length(w) <= longest, F.coalesce(F.try_element_at(names, w), w)).otherwise(w))
+    # membership is a hash look-up, the map a scan: few words get there
+    mapped = F.transform(words, lambda w: F.when(w.isin(*V.LETTER_NAMES), F.try_element_at(names, w)).otherwise(w))
     joined = F.regexp_replace(F.array_join(mapped, " "), r"(?<=(?:^| )\p{L}) (?=\p{L}(?: |$))", "")
-    return F.when(F.size(words) == 0, words).otherwise(F.split(joined, " "))
+    return F.array_remove(F.split(joined, " "), "")
 
 
 def normalize_text(c: Column) -> Column:
@@ -94,8 +99,13 @@ def is_contained(short: Column, long: Column) -> Column:
 
 
 def _overlap(left: Column, right: Column, most: int) -> Column:
-    sizes = F.filter(F.sequence(F.lit(1), F.lit(most)), lambda k: (k <= F.size(left)) & (k <= F.size(right)) & (F.slice(left, -k, k) == F.slice(right, F.lit(1), k)))
-    return F.coalesce(F.array_max(sizes), F.lit(0))
+    def longest(s: Column) -> Column:
+        sizes = F.sequence(F.lit(1), F.lit(most))
+        return F.array_max(F.filter(sizes, lambda k: (k <= F.size(s["l"])) & (k <= F.size(s["r"])) & (F.slice(s["l"], -k, k) == F.slice(s["r"], F.lit(1), k))))
+
+    # words are bound to a variable: inside the inner lambda they would be split anew for every size
+    bound = F.transform(F.array(F.struct(left.alias("l"), right.alias("r"))), longest)
+    return F.coalesce(F.element_at(bound, 1), F.lit(0))
 
 
 def overlap_tokens(left: Column, right: Column, most: int = V.OVERLAP_TOKENS) -> Column:
