@@ -149,12 +149,9 @@ def to_absolute(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _heard(spark: SparkSession, d: str) -> DataFrame:
-    """Recogniser output: short segments that repeat and overlap one another, on two channels."""
-    rows = segments(spark, d)
+    """Recogniser output: whole turns that repeat and overlap one another, on two channels."""
     words = T.tokens(F.col("text"))
-    size = F.size(words)
-    some = F.slice(words, F.lit(1), F.greatest(F.lit(1), F.least(size, F.lit(9) + F.col("seq"))))
-    base = rows.select("recording", "seq", "speaker", "start", "end", F.array_join(some, " ").alias("text")).where("text <> ''")
+    base = segments(spark, d).select("recording", "seq", "speaker", "start", "end", F.array_join(words, " ").alias("text")).where("text <> ''")
     repeated = base.where("seq % 3 = 0").withColumn("seq", F.col("seq") + 100).withColumn("start", F.col("start") + 0.4)
     part = base.where("seq % 3 = 1").withColumn("seq", F.col("seq") + 200).withColumn("start", F.col("start") + 0.2).withColumn("text", F.array_join(F.slice(F.split("text", " "), 2, 4), " ")).where("text <> ''")
     follow = base.where("seq % 2 = 1").withColumn("seq", F.col("seq") + 300).withColumn("start", F.col("end") - 0.1).withColumn("end", F.col("end") + 0.8).withColumn("text", F.lower(F.concat_ws(" ", F.element_at(F.split("text", " "), -1), F.lit("and then"))))
