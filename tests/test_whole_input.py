@@ -20,3 +20,11 @@ def test_folds_are_given_whole_turns(spark, small):
             ends.setdefault(r.recording, []).append(r.text)
         for rec, t in turns:  # the end of a turn is there, whatever was merged at its start
             assert not t or any(" ".join(t.split()[-3:]).lower() in x.lower() for x in ends[rec]), name
+
+
+def test_every_turn_has_its_section(spark, small):
+    turns = {}
+    for r in I.segments(spark, small).collect():
+        turns[r.recording] = turns.get(r.recording, 0) + 1
+    assert max(turns.values()) > 2
+    assert {r.recording: r.report.count("WER: ") for r in catalog.QUERIES["report_text"](spark, small).collect()} == turns

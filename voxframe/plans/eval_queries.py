@@ -90,8 +90,8 @@ def length_warnings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def report_text(spark: SparkSession, d: str) -> DataFrame:
-    """A report of two sections per recording."""
-    pairs = word_pairs(spark, d).select("recording", F.col("seq").alias("section"), "ref", "hyp").where("section < 2")
+    """A report per recording, with a section for each turn."""
+    pairs = word_pairs(spark, d).select("recording", F.col("seq").alias("section"), "ref", "hyp")
     sections = reports.text_report(A.with_alignment(pairs), ["recording", "section"])
     return reports.appended(sections, ["recording"])
 
