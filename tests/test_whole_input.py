@@ -28,3 +28,10 @@ def test_every_turn_has_its_section(spark, small):
         turns[r.recording] = turns.get(r.recording, 0) + 1
     assert max(turns.values()) > 2
     assert {r.recording: r.report.count("WER: ") for r in catalog.QUERIES["report_text"](spark, small).collect()} == turns
+
+
+def test_signal_report_has_all_frames(spark, small):
+    frames = {r.frame for r in I.stereo(spark, small).collect()}
+    got = [r.frame for r in catalog.QUERIES["signal_report"](spark, small).collect()]
+    assert max(frames) >= 40 or len(frames) <= 40
+    assert sorted(got) == sorted(frames)
