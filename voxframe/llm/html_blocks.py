@@ -9,8 +9,10 @@ The labeller is trained here, on pages that ``sample_page`` makes up: articles o
 footers, sidebars, notices, adverts, forms and reader comments, with and without telling tags and class names. Training
 is seeded, takes some seconds on the driver, and the few hundred kilobytes of weights go to the executors.
 
-Head, script, style and other elements that are never shown hold no blocks. Character references are decoded, white
-space inside a block becomes one space, line breaks count as white space, and nothing is capped.
+Head, script, style and other elements that are never shown hold no blocks; a head whose end tag is left out ends where
+text or a tag stands that can't be in one. Formulas, drawings' texts and what objects fall back to are read. Character
+references are decoded, white space inside a block becomes one space, line breaks count as white space, and nothing is
+capped.
 
 Defined results: null, empty or tagless-and-blank pages give an empty text; broken and cut-off markup is read as far as
 it goes; repeated rows are extracted row by row; an empty table gives an empty result; other columns are ignored.
@@ -35,11 +37,19 @@ TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 PART = re.compile(r"[a-z]+")
 #: Elements whose text is never shown.
-HIDDEN = frozenset("head script style noscript template svg math iframe object canvas audio video datalist title".split())
+HIDDEN = frozenset("head script style noscript template iframe canvas audio video datalist title annotation annotation-xml desc metadata defs symbol".split())
 #: Elements that hold raw text up to their own end tag.
-RAW = frozenset("script style noscript template iframe svg title textarea".split())
+RAW = frozenset("script style noscript template iframe title textarea".split())
+#: What can stand in a head; any other tag, and text, ends one whose end tag is left out.
+IN_HEAD = frozenset("html head title base basefont bgsound link meta style script noscript noframes template".split())
+#: Drawings and formulas; a tag in them that ends in a slash is a whole element.
+FOREIGN = frozenset("svg math".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr object "
+    "math semantics mrow mi mn mo ms mtext mspace mfrac msqrt mroot mstyle merror mpadded msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd "
+    "svg g path rect circle ellipse line polyline polygon use image".split()
+)
 #: A new one of the first ends an open one of the second.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 PATH, WORDS, EXTRA, HIDDEN_SIZE = 256, 128, 8, 16
@@ -69,10 +79,16 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
         hidden -= tag in HIDDEN
         links -= tag == "a"
 
+    def end_head() -> None:
+        while any(t == "head" for t, _ in stack):
+            pop()
+
     at, size = 0, len(page)
     while at < size:
         m = TOKEN.search(page, at)
         stop = m.start() if m else size
+        if stop > at and stack and stack[-1][0] == "head" and not page[at:stop].isspace():
+            end_head()
         if stop > at and not hidden:
             piece = html_module.unescape(page[at:stop])
             text.append(piece)
@@ -87,6 +103,8 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
         if not tag:
             continue
         tag = tag.lower()
+        if hidden and not closing and tag not in IN_HEAD:
+            end_head()
         if tag not in INLINE:
             flush()
         elif tag == "br":
@@ -97,7 +115,7 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
                     pop()
                 pop()
             continue
-        if tag in VOID:
+        if tag in VOID or rest.endswith("/") and (tag in FOREIGN or any(t in FOREIGN for t, _ in stack)):
             continue
         if tag not in INLINE and stack:
             ended = ENDS.get(tag, set()) | {"p"}
