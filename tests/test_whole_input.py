@@ -35,3 +35,33 @@ def test_signal_report_has_all_frames(spark, small):
     got = [r.frame for r in catalog.QUERIES["signal_report"](spark, small).collect()]
     assert max(frames) >= 40 or len(frames) <= 40
     assert sorted(got) == sorted(frames)
+
+
+def test_offset_compensation_of_short_turns(spark, small):
+    """Brute force over all trims, short turns among them."""
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            new = [i + 1]
+            for j, y in enumerate(b):
+                new.append(min(row[j + 1] + 1, new[j] + 1, row[j] + (x != y)))
+            row = new
+        return row[-1]
+
+    got = {(r.recording, r.seq): r for r in catalog.QUERIES["offset_compensation_all"](spark, small).collect()}
+    turns = {(r.recording, r.seq): r.ref for r in I.word_pairs(spark, small).collect()}
+    assert got.keys() == turns.keys() and any(len(t) <= 6 for t in turns.values())
+    for key, ref in turns.items():
+        if len(ref) > 30:
+            continue
+        hyp, tries = ref[2 if key[1] % 3 == 0 else 0 :], []
+        for k, (a, b) in enumerate([(0, 0)] + [x for t in range(1, 7) for x in ((t, 0), (0, t))]):
+            x, y = ref[a:], hyp[b:]
+            if k and not (x and y):
+                continue
+            prefix = sum(p == q for p, q in zip(x[:12], y[:12]))
+            tries.append((round(distance(x, y) / len(x), 12) if x else 0.0, -prefix, k, a, b))
+        best, r = min(tries), got[key]
+        assert (round(r.comp_wer, 12), -r.comp_prefix, r.ref_trim, r.hyp_trim) == (*best[:2], *best[3:]), key
+        assert round(r.base_wer, 12) == tries[0][0] and r.base_prefix == -tries[0][1]

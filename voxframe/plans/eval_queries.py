@@ -57,11 +57,20 @@ def corrected(spark: SparkSession, d: str) -> DataFrame:
     return out.select(*KEYS, "hits", "sub", "ins", "del", "wer", "numbers_checked", "numbers_replaced", "numbers_before", "numbers_after", "numbers_used", "words_checked", "words_replaced", "words_before", "words_after", "words_used")
 
 
-def offset_compensation(spark: SparkSession, d: str) -> DataFrame:
+def _late(spark: SparkSession, d: str) -> DataFrame:
     """Turns of which every third lost its first words."""
     lost = F.when(F.col("seq") % 3 == 0, F.lit(2)).otherwise(F.lit(0))
-    pairs = word_pairs(spark, d).withColumn("hyp", T.drop_words(F.col("ref"), lost)).where(F.size("ref") > 6)
-    return E.offset_compensation(pairs, KEYS)
+    return word_pairs(spark, d).withColumn("hyp", T.drop_words(F.col("ref"), lost))
+
+
+def offset_compensation(spark: SparkSession, d: str) -> DataFrame:
+    """Turns of over six words, for which the SQL has a closed form."""
+    return E.offset_compensation(_late(spark, d).where(F.size("ref") > 6), KEYS)
+
+
+def offset_compensation_all(spark: SparkSession, d: str) -> DataFrame:
+    """All turns, also those that a trim can empty."""
+    return E.offset_compensation(_late(spark, d), KEYS)
 
 
 def _roles(spark: SparkSession, d: str) -> DataFrame:
@@ -100,7 +109,7 @@ def speaker_report(spark: SparkSession, d: str) -> DataFrame:
     return reports.speaker_report(_role_rates(spark, d).where("mapping = 'length'"), ["recording"])
 
 
-QUERIES = {f.__name__: f for f in (wer_pairs, wer_by_role, weighted_wer, error_counts, top_errors, error_examples, corrected, offset_compensation, role_assignment, mapping_confidence, length_warnings, report_text, speaker_report)}
+QUERIES = {f.__name__: f for f in (wer_pairs, wer_by_role, weighted_wer, error_counts, top_errors, error_examples, corrected, offset_compensation, offset_compensation_all, role_assignment, mapping_confidence, length_warnings, report_text, speaker_report)}
 
 _RATES = f"""WITH RECURSIVE {DISTANCES},
 rates AS (SELECT p.recording, p.seq, p.speaker, CAST(d[len(hyp) + 1] AS BIGINT) AS distance, CAST(len(ref) AS INTEGER) AS ref_words, CAST(len(hyp) AS INTEGER) AS hyp_words,
