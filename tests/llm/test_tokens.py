@@ -7,24 +7,40 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 from voxframe.llm import packing, token_files, tokenization
 
 BYTE, WORD = (tokenization.vocabulary_path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
-ENCODERS = {True: tokenization.WordMemo(BYTE, True, "<u4", limit=60), False: tokenization.WordMemo(WORD, False, "<u4", limit=60)}
+MEMOS = {True: tokenization.WordMemo(BYTE, True, "<u4", limit=60), False: tokenization.WordMemo(WORD, False, "<u4", limit=60)}
+#: The library's own, with nothing set.
+PLAIN = {p: Tokenizer.from_file(p) for p in (BYTE, WORD)}
+SPECIAL = ["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|endoftext|", "  <|endoftext|>  ", "it's", "x9!!", "don't."]
+
+
+def ids_of(path: str, text, end: int | None) -> bytes:
+    ids = PLAIN[path].encode(text or "", add_special_tokens=False).ids
+    return np.array(ids if end is None else [*ids, end], "<u4").tobytes()
+
+
+TEXT = st.text(alphabet=st.sampled_from(" \n\t.,'sTaébA9%&İß́Σς\x85\xa0\x1c<|>!-"), max_size=30) | st.text(max_size=20)
+MIXED = st.lists(TEXT | st.sampled_from(SPECIAL), max_size=5).map("".join)
 
 
 @pytest.mark.parametrize("leading", [True, False])
-@settings(max_examples=300, deadline=None)
-@given(texts=st.lists(st.text(alphabet=st.sampled_from(" \n\t.,'sTaébA9%&İß́Σς\x85\xa0\x1c<|>"), max_size=30) | st.text(max_size=20), max_size=6))
+@settings(max_examples=400, deadline=None)
+@given(texts=st.lists(TEXT | MIXED, max_size=6))
 def test_memo_equals_plain_encoding(leading, texts):
-    memo = ENCODERS[leading]
-    assert memo.encode_all(texts) == [memo.plain(t) for t in texts]
+    memo, path = MEMOS[leading], BYTE if leading else WORD
+    assert memo.encode_all(texts) == [ids_of(path, t, None) for t in texts]
     assert memo.encode_all([None]) == [b""]
 
 
-def ids_of(path: str, text, end: int) -> bytes:
-    t = tokenization.load(path)
-    return np.array([*t.encode(text or "", add_special_tokens=False).ids, end], "<u4").tobytes()
+def test_memo_keeps_two_generations():
+    memo = tokenization.WordMemo(BYTE, True, "<u2", limit=20)
+    for k in range(50):
+        texts = [f"the word{k} and again" for _ in range(2)]
+        assert memo.encode_all(texts, block=1) == [np.frombuffer(ids_of(BYTE, t, None), "<u4").astype("<u2").tobytes() for t in texts]
+        assert len(memo.young) <= 10 and len(memo.old) <= 10
 
 
 def test_token_files_round_trip(spark, documents, odd_texts, tmp_path):
