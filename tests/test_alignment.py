@@ -39,13 +39,29 @@ def test_alignment_is_least_and_whole(ref, hyp):
     assert (i, j) == (len(ref), len(hyp))
 
 
-def test_large_matrices_are_halved(monkeypatch):
-    r = np.random.default_rng(0)
-    a, b = r.choice(list("abcdef"), 90).tolist(), r.choice(list("abcdef"), 80).tolist()
-    whole = A.counts(A.align(a, b))
-    monkeypatch.setattr(A, "CELLS", 50)
-    halved = A.counts(A.align(a, b))
-    assert sum(halved[1:4]) == sum(whole[1:4]) == plain_distance(a, b)
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from("abcd"), max_size=40), st.lists(st.sampled_from("abcd"), max_size=40), st.integers(1, 60))
+def test_large_matrices_take_the_same_path(ref, hyp, cells):
+    whole, limit = A.align(ref, hyp), A.CELLS
+    A.CELLS = cells
+    try:
+        assert A.align(ref, hyp) == whole
+    finally:
+        A.CELLS = limit
+
+
+@given(WORDS, WORDS, st.integers(0, 4))
+def test_trimmed_distances(ref, hyp, trims):
+    cut_ref, cut_hyp = A.trimmed_distances(*A._numbers(ref, hyp), trims)
+    assert cut_ref == [plain_distance(ref[t:], hyp) for t in range(min(trims, len(ref)) + 1)]
+    assert cut_hyp == [plain_distance(ref, hyp[t:]) for t in range(min(trims, len(hyp)) + 1)]
+
+
+def test_an_alignment_is_planned_once(spark):
+    rows = A.with_alignment(pairs_of(spark, (1, "a b c", "a x c")))
+    top = A.top_errors(A.errors(rows, ["k"]), ["k"])
+    plan = top._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
 
 
 def test_identity_and_symmetry():

@@ -53,7 +53,8 @@ def test_speakers(spark, tmp_path):
     assert got[("length", "interviewer")] == ("speaker_r", 0.0) and got[("length", "interviewee")] == ("speaker_l", round(1 / 6, 4))
     c = confidence.first()
     assert c.winner == "length" and abs(c.length_wer - 1 / 8) < 1e-12 and c.delta_points > 0
-    assert "WEIGHTED WER: 12.50 %" in reports.first().report
+    assert "WER (weighted by REF words): 12.50 %" in reports.first().report
+    assert "GT role: interviewee | ASR source: speaker_l" in reports.first().report
 
 
 def test_formal_truth(spark, tmp_path):
@@ -82,5 +83,5 @@ def test_audio(spark, tmp_path):
     files, figures = jobs.process_audio(spark, str(tmp_path))
     assert sorted(r.name for r in files.collect()) == ["a_left", "a_mix", "a_right"]
     row = figures.first()
-    assert abs(row.lufs_after + 23) < 0.2 and row.lufs_gain > 0
+    assert abs(row.lufs_after + 23) < 0.2 and row.lufs_gain > 0 and "Duration: 2.00 s" in row.report
     assert audio.load(transcripts.read_files(spark, str(tmp_path))).first().rate == 8000

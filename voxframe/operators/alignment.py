@@ -2,8 +2,9 @@
 
 Alignment is quadratic and sequential, so it runs in an Arrow-batched UDF on numpy rows: a row of the distance matrix is
 one running minimum. Among the alignments of least distance the one is taken that, walked from the end, prefers a
-deletion to an insertion and that to a match or substitution, after common words at both ends are set aside. Large
-matrices are halved (Hirschberg), so memory stays within CELLS.
+deletion to an insertion and that to a match or substitution, after common words at both ends are set aside. Of matrices
+over CELLS only some rows are kept, and those between are made again as the walk gets there: the same path, with memory
+of some 2 * sqrt(rows) rows.
 
 An empty reference has no error rate: wer is null, all hypothesis words are insertions.
 """
@@ -11,6 +12,7 @@ An empty reference has no error rate: wer is null, all hypothesis words are inse
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pandas as pd
@@ -27,14 +29,22 @@ RESULT_STRUCT = f"struct<hits: int, sub: int, ins: int, del: int, wer: double, c
 RESULT = f"hits int, sub int, ins int, del int, wer double, chunks {CHUNKS}"
 
 
-def _rows(a: np.ndarray, b: np.ndarray) -> Iterator[np.ndarray]:
-    """Rows of the distance matrix of two sequences of word numbers."""
+def _numbers(ref, hyp) -> tuple[np.ndarray, np.ndarray]:
+    """Words as numbers; equal words have equal ones."""
+    numbers: dict[str, int] = {}
+    sides = ([] if words is None else words for words in (ref, hyp))
+    a, b = (np.array([numbers.setdefault(w, len(numbers)) for w in words], np.int64) for words in sides)
+    return a, b
+
+
+def _rows(a: np.ndarray, b: np.ndarray, row: np.ndarray | None = None) -> Iterator[np.ndarray]:
+    """Rows of the distance matrix of two sequences of word numbers; row: the first, where it is not the matrix's own."""
     places = np.arange(len(b) + 1, dtype=np.int64)
-    row = places.copy()
+    row = places.copy() if row is None else row
     yield row
-    for i, x in enumerate(a, 1):
+    for x in a:
         best = np.empty_like(row)
-        best[0] = i
+        best[0] = row[0] + 1
         best[1:] = np.minimum(row[1:] + 1, row[:-1] + (b != x))
         row = np.minimum.accumulate(best - places) + places
         yield row
@@ -49,33 +59,28 @@ def distance(a: np.ndarray, b: np.ndarray) -> int:
 
 def _walk(a: np.ndarray, b: np.ndarray) -> list[str]:
     n, m = len(a), len(b)
-    if n * m > CELLS and n > 1:
-        half = n // 2
-        for forward in _rows(a[:half], b):
-            pass
-        for backward in _rows(a[half:][::-1], b[::-1]):
-            pass
-        cut = int(np.argmin(forward + backward[::-1]))
-        return _walk(a[:half], b[:cut]) + _walk(a[half:], b[cut:])
-    d = np.stack(list(_rows(a, b)))
+    step = max(1, n if n * m <= CELLS else isqrt(n))
+    kept = [row for i, row in enumerate(_rows(a, b)) if i % step == 0]
     ops, i, j = [], n, m
-    while i or j:
-        if i and d[i, j] == d[i - 1, j] + 1:
-            ops.append("delete")
-            i -= 1
-        elif j and d[i, j] == d[i, j - 1] + 1:
-            ops.append("insert")
-            j -= 1
-        else:
-            ops.append("equal" if a[i - 1] == b[j - 1] else "substitute")
-            i, j = i - 1, j - 1
+    for first in range(max(0, n - 1) // step * step, -1, -step):
+        d = np.stack(list(_rows(a[first : first + step], b, kept[first // step])))
+        while i > first or (first == 0 and j):
+            here = d[i - first, j]
+            if i and here == d[i - 1 - first, j] + 1:
+                ops.append("delete")
+                i -= 1
+            elif j and here == d[i - first, j - 1] + 1:
+                ops.append("insert")
+                j -= 1
+            else:
+                ops.append("equal" if a[i - 1] == b[j - 1] else "substitute")
+                i, j = i - 1, j - 1
     return ops[::-1]
 
 
 def align(ref: list[str], hyp: list[str]) -> list[tuple[str, int, int, int, int]]:
     """Chunks (op, ref start, ref end, hyp start, hyp end) of equal, substitute, delete and insert."""
-    numbers: dict[str, int] = {}
-    a, b = (np.array([numbers.setdefault(w, len(numbers)) for w in words], np.int64) for words in (ref, hyp))
+    a, b = _numbers(ref, hyp)
     n = min(len(a), len(b))
     differ = np.flatnonzero(a[:n] != b[:n])
     head = int(differ[0]) if len(differ) else n
@@ -103,7 +108,7 @@ def counts(chunks: list[tuple[str, int, int, int, int]]) -> tuple[int, int, int,
     return n["equal"], n["substitute"], n["insert"], n["delete"], (n["substitute"] + n["insert"] + n["delete"]) / words if words else None
 
 
-@pandas_udf(RESULT)
+@pandas_udf(RESULT, once=True)
 def align_words(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
     rows = []
     for r, h in zip(ref, hyp):
@@ -115,17 +120,37 @@ def align_words(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
 @pandas_udf("long")
 def word_distance(ref: pd.Series, hyp: pd.Series) -> pd.Series:
     """The distance alone: memory is one row."""
-    out = []
-    for r, h in zip(ref, hyp):
-        numbers: dict[str, int] = {}
-        a, b = (np.array([numbers.setdefault(w, len(numbers)) for w in (words if words is not None else [])], np.int64) for words in (r, h))
-        out.append(distance(a, b))
-    return pd.Series(out, dtype="int64")
+    return pd.Series([distance(*_numbers(r, h)) for r, h in zip(ref, hyp)], dtype="int64")
+
+
+def trimmed_distances(a: np.ndarray, b: np.ndarray, trims: int) -> tuple[list[int], list[int]]:
+    """Distances with the first 0, 1, ... ``trims`` words of a cut, and of b, as far as there are words.
+
+    In the matrix of both sequences from their ends, what is left of a sequence is a row or a column.
+    """
+    n, m = len(a), len(b)
+    cut_a: list[int] = []
+    row = np.zeros(1, np.int64)
+    for i, row in enumerate(_rows(a[::-1], b[::-1])):
+        if i >= n - trims:
+            cut_a.append(int(row[m]))
+    return cut_a[::-1], [int(row[m - t]) for t in range(min(trims, m) + 1)]
+
+
+def trims_udf(trims: int):
+    """(ref, hyp) -> distances by trimmed words of ref, and of hyp, from one matrix."""
+
+    @pandas_udf("cut_ref array<long>, cut_hyp array<long>", once=True)
+    def cuts(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
+        rows = [trimmed_distances(*_numbers(r, h), trims) for r, h in zip(ref, hyp)]
+        return pd.DataFrame(rows, columns=["cut_ref", "cut_hyp"])
+
+    return cuts
 
 
 def with_alignment(pairs: DataFrame, ref: str = "ref", hyp: str = "hyp") -> DataFrame:
     """pairs with hits, sub, ins, del, wer, chunks; ref and hyp are arrays of words."""
-    # a struct computed once: without the barrier the UDF would be planned once for each field
+    # the UDF is planned once: as it must not be copied, filters on its result stay above it
     return pairs.withColumn("_a", align_words(F.col(ref), F.col(hyp))).select(*pairs.columns, "_a.*")
 
 

@@ -53,21 +53,31 @@ def corrected(pairs: DataFrame, mapping: DataFrame, keys: list[str], name: str)
 def offset_compensation(pairs: DataFrame, keys: list[str], trims: int = V.OFFSET_TRIM_WORDS) -> DataFrame:
     """keys, base_wer, comp_wer, ref_trim, hyp_trim, improvement, prefix matches, use.
 
-    Up to ``trims`` words are cut from the start of ref or hyp, as rows that are aligned in parallel. The best has the
-    least rate, then the longest matching start, then the first in order.
+    Up to ``trims`` words are cut from the start of ref or hyp; what would empty a side is no candidate. The best has the
+    least rate, then the longest matching start, then the first in order. One matrix of a pair holds all distances.
     """
     options = [(0, 0)] + [x for t in range(1, trims + 1) for x in ((t, 0), (0, t))]
-    tries = F.array(*[F.struct(F.lit(k).alias("_k"), F.lit(r).alias("ref_trim"), F.lit(h).alias("hyp_trim")) for k, (r, h) in enumerate(options)])
-    rows = pairs.select(*keys, "ref", "hyp", F.inline(tries))
-    rows = rows.withColumn("ref", T.drop_words(F.col("ref"), F.col("ref_trim"))).withColumn("hyp", T.drop_words(F.col("hyp"), F.col("hyp_trim")))
-    rows = rows.where((F.col("_k") == 0) | ((F.size("ref") > 0) & (F.size("hyp") > 0)))
-    prefix = T.prefix_matches(F.col("ref"), F.col("hyp"))
-    rated = word_error_rates(rows.withColumn("prefix", prefix), [*keys, "_k", "ref_trim", "hyp_trim", "prefix"]).withColumn("wer", F.coalesce("wer", F.lit(0.0)))
-    one = F.struct("ref_trim", "hyp_trim", "wer", "prefix")
-    best = rated.groupBy(*keys).agg(F.min_by(one, F.struct(F.round("wer", 12), -F.col("prefix"), "_k")).alias("b"), F.max(F.when(F.col("_k") == 0, F.struct("wer", "prefix"))).alias("o"))
+    rows = pairs.select(*keys, "ref", "hyp").withColumn("_d", A.trims_udf(trims)("ref", "hyp"))
+
+    def candidate(k: int, r: int, h: int):
+        left = F.size("ref") - r
+        said = F.try_element_at("_d.cut_hyp", F.lit(h + 1)) if h else F.try_element_at("_d.cut_ref", F.lit(r + 1))
+        wer = F.when(left > 0, said / left).otherwise(0.0)
+        cut = [T.drop_words(F.col(c), F.lit(n)) if n else F.col(c) for c, n in (("ref", r), ("hyp", h))]
+        order = [wer.alias("wer"), (-T.prefix_matches(*cut)).alias("prefix"), F.lit(k).alias("k")]
+        one = F.struct(*order, F.lit(r).alias("ref_trim"), F.lit(h).alias("hyp_trim"))
+        return one if k == 0 else F.when((left > 0) & (F.size("hyp") > h), one)
+
+    tries = F.array_compact(F.array(*[candidate(k, r, h) for k, (r, h) in enumerate(options)]))
+    best = rows.select(*keys, tries.alias("t")).select(*keys, F.col("t")[0].alias("o"), F.array_min("t").alias("b"))
     gain = F.col("o.wer") - F.col("b.wer")
-    use = ((F.col("b.ref_trim") + F.col("b.hyp_trim")) > 0) & (gain >= V.OFFSET_IMPROVEMENT) & (F.col("b.prefix") >= F.col("o.prefix"))
-    return best.select(*keys, F.col("o.wer").alias("base_wer"), F.col("b.wer").alias("comp_wer"), "b.ref_trim", "b.hyp_trim", gain.alias("improvement"), F.col("o.prefix").alias("base_prefix"), F.col("b.prefix").alias("comp_prefix"), use.alias("use"))
+    trimmed = (F.col("b.ref_trim") + F.col("b.hyp_trim")) > 0
+    use = trimmed & (gain >= V.OFFSET_IMPROVEMENT) & (F.col("b.prefix") <= F.col("o.prefix"))
+    return best.select(
+        *keys, F.col("o.wer").alias("base_wer"), F.col("b.wer").alias("comp_wer"), "b.ref_trim", "b.hyp_trim",
+        gain.alias("improvement"), (-F.col("o.prefix")).alias("base_prefix"), (-F.col("b.prefix")).alias("comp_prefix"),
+        use.alias("use"),
+    )
 
 
 def length_warning(ref_words, hyp_words):

@@ -9,11 +9,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, StructField, StructType
 
 from voxframe.functions import frames as S
-from voxframe.functions.lazy import pandas_udf
+from voxframe.functions.lazy import bounded, pandas_udf
 
 LUFS_TARGET = -23.0
 
@@ -164,43 +167,94 @@ def level(left: np.ndarray, right: np.ndarray, rate: int, target: float = LUFS_T
     return left * gain * second, right * gain * second, float(gain), float(second)
 
 
-PROCESSED = "left array<float>, right array<float>, mix array<float>, lufs_before double, lufs_after double, lufs_gain double, peak_gain double"
+#: Figures of a levelled recording, in order: gains, then levels in dB, correlations and loudness before and after.
+FIGURES = [
+    "lufs_gain", "peak_gain", "total_gain", "correlation_before", "correlation_after", "left_before", "left_after",
+    "right_before", "right_after", "left_peak_before", "left_peak_after", "right_peak_before", "right_peak_after",
+    "mid_before", "mid_after", "side_before", "side_after", "side_to_mid_before", "side_to_mid_after",
+    "lufs_before", "lufs_after", "mid_lufs_before", "mid_lufs_after", "side_lufs_before", "side_lufs_after",
+]
 
 
-def process_stereo(audio: DataFrame, keys: list[str]) -> DataFrame:
-    """audio: keys, rate, left, right -> levelled channels and their mix, and loudness before and after."""
-    types = ", ".join(f"`{k}` {audio.schema[k].dataType.simpleString()}" for k in keys)
+def _db(x: float) -> float:
+    return 20 * float(np.log10(max(x, S.FLOOR)))
+
+
+def _rms(x: np.ndarray) -> float:
+    return float(np.sqrt(np.mean(x * x)))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for row in batch.to_dict("records"):
-                l, r = np.asarray(row["left"], np.float64), np.asarray(row["right"], np.float64)
-                if not len(l):
-                    rows.append([*(row[k] for k in keys), [], [], [], None, None, 1.0, 1.0])
-                    continue
-                rate = int(row["rate"])
-                a, b, g, p = level(l, r, rate)
-                rows.append([*(row[k] for k in keys), a.tolist(), b.tolist(), (0.5 * (a + b)).tolist(), integrated_lufs([l, r], rate), integrated_lufs([a, b], rate), g, p])
-            yield pd.DataFrame(rows, columns=[*keys, "left", "right", "mix", "lufs_before", "lufs_after", "lufs_gain", "peak_gain"])
 
-    return audio.select(*keys, "rate", "left", "right").mapInPandas(run, f"{types}, {PROCESSED}")
+def _correlation(a: np.ndarray, b: np.ndarray) -> float:
+    sa, sb = a.std(), b.std()
+    return 0.0 if min(sa, sb) <= S.FLOOR else float(((a - a.mean()) * (b - b.mean())).mean() / (sa * sb))
+
+
+def stereo_figures(before: tuple, after: tuple, rate: int, gain: float, second: float) -> dict[str, float | None]:
+    """FIGURES of (left, right) before and after levelling."""
+    out: dict[str, float | None] = {"lufs_gain": gain, "peak_gain": second, "total_gain": gain * second}
+    for when, (left, right) in (("before", before), ("after", after)):
+        mid, side = 0.5 * (left + right), 0.5 * (left - right)
+        out[f"correlation_{when}"] = _correlation(left, right)
+        for name, x in (("left", left), ("right", right), ("mid", mid), ("side", side)):
+            out[f"{name}_{when}"] = _db(_rms(x))
+        for name, x in (("left", left), ("right", right)):
+            out[f"{name}_peak_{when}"] = _db(float(np.abs(x).max()))
+        out[f"side_to_mid_{when}"] = _db(_rms(side) / max(_rms(mid), S.FLOOR))
+        for name, channels in (("lufs", [left, right]), ("mid_lufs", [mid]), ("side_lufs", [side])):
+            out[f"{name}_{when}"] = integrated_lufs(channels, rate)
+    return out
+
+
+def _samples(batch: pa.RecordBatch, name: str, row: int) -> np.ndarray:
+    """One row's samples, without Python numbers in between; null is none."""
+    value = batch.column(batch.schema.get_field_index(name))[row].values
+    return np.zeros(0) if value is None else value.to_numpy(zero_copy_only=False).astype(np.float64)
+
+
+def process_stereo(audio: DataFrame, keys: list[str]) -> DataFrame:
+    """audio: keys, rate, left, right -> levelled channels, their mix, and FIGURES (null for recordings without samples)."""
+    bounded(audio.sparkSession)
+    own = audio.select(*keys, "rate", "left", "right")
+    fields = [own.schema[k] for k in keys]
+    arrays = [StructField(c, ArrayType(FloatType())) for c in ("left", "right", "mix")]
+    schema = StructType([*fields, *arrays, *[StructField(c, DoubleType()) for c in FIGURES]])
+    target = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                left, right = _samples(batch, "left", i), _samples(batch, "right", i)
+                figures: dict[str, float | None] = {"lufs_gain": 1.0, "peak_gain": 1.0, "total_gain": 1.0}
+                a, b = left, right
+                if len(left):
+                    rate = int(batch.column(len(keys))[i].as_py())
+                    a, b, gain, second = level(left, right, rate)
+                    figures = stereo_figures((left, right), (a, b), rate, gain, second)
+                sound = [pa.array([x.astype(np.float32)], pa.list_(pa.float32())) for x in (a, b, 0.5 * (a + b))]
+                numbers = [pa.array([figures.get(c)], pa.float64()) for c in FIGURES]
+                columns = [batch.column(k).slice(i, 1) for k in range(len(keys))] + sound + numbers
+                yield pa.RecordBatch.from_arrays(columns, names=target.names)
+
+    return own.mapInArrow(run, schema)
 
 
 def clean_stereo(audio: DataFrame, keys: list[str], alpha: float = 1.75) -> DataFrame:
     """audio: keys, left, right -> both without crosstalk."""
-    types = ", ".join(f"`{k}` {audio.schema[k].dataType.simpleString()}" for k in keys)
+    bounded(audio.sparkSession)
+    own = audio.select(*keys, "left", "right")
+    arrays = [StructField(c, ArrayType(FloatType())) for c in ("left", "right")]
+    schema = StructType([*[own.schema[k] for k in keys], *arrays])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for row in batch.to_dict("records"):
-                l, r = np.asarray(row["left"], np.float64), np.asarray(row["right"], np.float64)
-                a, b = suppress_crosstalk(l, r, alpha) if len(l) else (l, r)
-                rows.append([*(row[k] for k in keys), a.tolist(), b.tolist()])
-            yield pd.DataFrame(rows, columns=[*keys, "left", "right"])
-
-    return audio.select(*keys, "left", "right").mapInPandas(run, f"{types}, left array<float>, right array<float>")
+            for i in range(batch.num_rows):
+                l, r = _samples(batch, "left", i), _samples(batch, "right", i)
+                both = suppress_crosstalk(l, r, alpha) if len(l) else (l, r)
+                sound = [pa.array([x.astype(np.float32)], pa.list_(pa.float32())) for x in both]
+                kept = [batch.column(k).slice(i, 1) for k in range(len(keys))]
+                yield pa.RecordBatch.from_arrays([*kept, *sound], names=schema.names)
+
+    return own.mapInArrow(run, schema)
 
 
 @pandas_udf("array<float>")

@@ -13,22 +13,9 @@ from voxframe.operators import evaluation as E
 from voxframe.operators import folds, signal
 from voxframe.operators import segments as G
 from voxframe.plans import reports
+from voxframe.plans.storage import kept
 from voxframe.sources import audio, hypotheses, transcripts
 
-def _kept(df: DataFrame) -> DataFrame:
-    """A result that several branches of a job read: computed once, into the checkpoint folder that driver and executors
-    share, so plans stay short and lost executors cost nothing."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:  # only where no cluster names one, as in tests
-            import tempfile
-
-            folder = "file://" + tempfile.mkdtemp(prefix="voxframe-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 # ---- text evaluation ---------------------------------------------------------------------------------------------------
 
 
@@ -92,17 +79,17 @@ def evaluate_texts(spark: SparkSession, hypothesis_paths: str | list[str], truth
     from voxframe.operators import alignment as A
 
     keys = ["name", "path"]
-    said = _kept(_hypothesis_texts(_kept(transcripts.read_text(spark, hypothesis_paths))))
-    truth_files = _kept(transcripts.read_text(spark, truth_paths))
+    said = kept(_hypothesis_texts(kept(transcripts.read_text(spark, hypothesis_paths))))
+    truth_files = kept(transcripts.read_text(spark, truth_paths))
     sources = transcripts.ground_truth_sources(truth_files.select("name", "path"), said.select("recording").distinct())
     sections = said.join(sources, "recording")
-    truth = _kept(hypotheses.flatten_segments(truth_files, ["path"]))
+    truth = kept(hypotheses.flatten_segments(truth_files, ["path"]))
     pairs = _reference_texts(sections, truth)
     pairs = pairs.withColumn("ref", T.tokens(T.normalize_text(F.col("ref")))).withColumn("hyp", T.tokens(T.normalize_text(F.col("hyp")))).where((F.size("ref") > 0) & (F.size("hyp") > 0))
     pairs = pairs.withColumn("use_words", F.col("path").rlike(r"_gt_segments\.json$")).withColumn("use_numbers", F.col("is_whisper"))
-    rows = _kept(A.with_alignment(_kept(pairs)))
-    rows = _kept(_optional(rows, "use_numbers", numbers, keys, "numbers"))
-    rows = _kept(_optional(rows, "use_words", words, keys, "words"))
+    rows = kept(A.with_alignment(kept(pairs)))
+    rows = kept(_optional(rows, "use_numbers", numbers, keys, "numbers"))
+    rows = kept(_optional(rows, "use_words", words, keys, "words"))
     offsets = E.offset_compensation(rows, keys)
     rows = rows.join(offsets, keys)
     counts = [0 if m is None else m.count() for m in (words, numbers)]
@@ -119,7 +106,7 @@ def evaluate_texts(spark: SparkSession, hypothesis_paths: str | list[str], truth
     )
     warning = E.length_warning(F.size("ref"), F.size("hyp"))
     rows = rows.withColumn("head", head).withColumn("stats", stats).withColumn("warnings", F.when(warning.isNull(), F.array().cast("array<string>")).otherwise(F.array(warning)))
-    rows = _kept(rows)
+    rows = kept(rows)
     sections_text = reports.text_report(rows, keys)
     metrics = ["recording", "source", "hits", "sub", "ins", "del", "wer", "words_replaced", "numbers_replaced", "comp_wer", "use"]
     return rows.select(*keys, F.col("priority").alias("section"), *metrics).join(sections_text, keys)
@@ -141,7 +128,7 @@ def evaluate_speakers(spark: SparkSession, hypothesis_paths: str | list[str], sp
     from voxframe.operators import alignment as A
 
     files = transcripts.read_text(spark, hypothesis_paths)
-    heads = hypotheses.hypotheses(files).select("name", "recording", "is_whisper")
+    heads = hypotheses.hypotheses(files).select("name", "recording", "is_whisper", "metadata")
     channels = hypotheses.speaker_transcriptions(files, ["name"]).where("text <> ''")
     truth_files = transcripts.read_text(spark, speaker_paths)
     keys = ["name", "path"]
@@ -155,12 +142,27 @@ def evaluate_speakers(spark: SparkSession, hypothesis_paths: str | list[str], sp
     roles = chosen.select(*keys, "_key").join(told, ["path", "_key"]).select(*keys, "role", "text")
     mapped = G.assign_roles(channels.join(sections.select(*keys), "name"), roles, keys)
     ids = [*keys, "mapping", "role"]
-    pairs = mapped.join(sections.select(*keys, "is_whisper"), keys).withColumn("ref", T.tokens(T.normalize_text(F.col("ref")))).withColumn("hyp", T.tokens(T.normalize_text(F.col("hyp"))))
-    rows = _kept(A.with_alignment(_kept(pairs.withColumn("use_words", F.lit(True)))))
-    rows = _kept(_optional(rows, "is_whisper", numbers, ids, "numbers"))
-    rows = _kept(_optional(rows, "use_words", words, ids, "words"))
+    pairs = mapped.join(sections.select(*keys, "recording", "is_whisper", "metadata"), keys).withColumn("ref", T.tokens(T.normalize_text(F.col("ref")))).withColumn("hyp", T.tokens(T.normalize_text(F.col("hyp"))))
+    rows = kept(A.with_alignment(kept(pairs.withColumn("use_words", F.lit(True)))))
+    rows = kept(_optional(rows, "is_whisper", numbers, ids, "numbers"))
+    rows = kept(_optional(rows, "use_words", words, ids, "words"))
+    meta = F.col("metadata")
+    # The labels of the report's first lines.
+    head = F.array(
+        F.concat(F.lit("Source JSON: "), "name", F.lit(".json")),
+        F.concat(F.lit("Reference (GT): "), F.element_at(F.split("path", "/"), -1)),
+        F.concat(F.lit("Recording ID: "), F.coalesce("recording", F.lit("unknown"))),
+        F.concat(F.lit("Mode: "), F.coalesce(meta["mode"], F.lit("unknown")), F.lit(" | Model: "), F.coalesce(meta["model"], F.lit("unknown")),
+                 F.lit(" | Backend: "), F.coalesce(meta["backend"], F.lit("unknown"))),
+        F.concat(F.lit("Runtime: "), F.coalesce(meta["runtime_seconds"].cast("string"), F.lit("n/a")), F.lit("s | Run started: "),
+                 F.coalesce(meta["run_started_utc"], F.lit("n/a")), F.lit(" | Run finished: "), F.coalesce(meta["run_finished_utc"], F.lit("n/a"))),
+    )
+    entries = [0 if m is None else m.count() for m in (words, numbers)]
+    on = [F.lit(entries[0] > 0), F.col("is_whisper") & F.lit(entries[1] > 0)]
+    stats = F.concat(_map_lines("words", "WordChanges", on[0], entries[0]), _map_lines("numbers", "NumberChanges", on[1], entries[1]))
+    rows = kept(rows.withColumn("head", head).withColumn("stats", stats))
     rates = rows.select(*ids, "channel", "hits", "sub", "ins", "del", "wer", F.size("ref").alias("ref_words"), F.size("hyp").alias("hyp_words"))
-    return rates, E.mapping_confidence(rates, keys), reports.speaker_report(rates.where("mapping = 'length'"), keys)
+    return rates, E.mapping_confidence(rates, keys), reports.speaker_report(rows, keys)
 
 
 # ---- ground truth ------------------------------------------------------------------------------------------------------
@@ -209,11 +211,12 @@ def assemble_hypotheses(segments: DataFrame, metadata: DataFrame, split: bool) -
 
 
 def process_audio(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame]:
-    """(WAV files of left, right and mix; figures) of stereo recordings, levelled."""
+    """(WAV files of left, right and mix; figures and report) of stereo recordings, levelled."""
     loaded = audio.load(transcripts.read_files(spark, paths), "stereo")
-    done = signal.process_stereo(loaded, ["name"]).join(loaded.select("name", "rate"), "name")
+    done = kept(signal.process_stereo(loaded, ["name", "rate"]))
     files = None
     for channel in ("left", "right", "mix"):
         one = audio.to_wav(done.select(F.concat("name", F.lit(f"_{channel}")).alias("name"), "rate", F.col(channel)), [channel])
         files = one if files is None else files.unionByName(one)
-    return files, done.select("name", "lufs_before", "lufs_after", "lufs_gain", "peak_gain")
+    figures = done.select("name", F.col("name").alias("source"), "rate", F.size("mix").alias("n"), *signal.FIGURES)
+    return files, figures.join(reports.signal_report(figures, ["name"]), "name")

@@ -66,7 +66,7 @@ def speaker_summary(spark: SparkSession, d: str) -> DataFrame:
 def exact_dedup(spark: SparkSession, d: str) -> DataFrame:
     rows = segments(spark, d).withColumn("speakers", F.array("speaker"))
     again = rows.withColumn("seq", F.col("seq") + 100).withColumn("text", F.concat(F.lit("... "), "text"))
-    return G.exact_dedup(rows.where("seq % 2 = 0").unionByName(again), ["recording"]).select("recording", "seq", "start", "end")
+    return G.exact_dedup(rows.unionByName(again), ["recording"]).select("recording", "seq", "start", "end")
 
 
 def formal_segments(spark: SparkSession, d: str) -> DataFrame:
@@ -247,7 +247,7 @@ SELECT * EXCLUDE (k) FROM k WHERE k = 1""",
     "speaker_summary": rf"""WITH {_TRUTH}, span AS (SELECT recording, min(start) AS start, max("end") AS "end" FROM truth GROUP BY recording),
 said AS (SELECT recording, seq, speaker AS role, text FROM truth WHERE speaker IN ('interviewer', 'interviewee') UNION ALL SELECT recording, seq, 'interviewer', er FROM truth WHERE joint UNION ALL SELECT recording, seq, 'interviewee', ee FROM truth WHERE joint)
 SELECT recording, role, 'full_' || recording || '_' || role AS id, any_value(start) AS start, any_value("end") AS "end", string_agg({_asr('text')}, ' ' ORDER BY seq) AS text FROM said JOIN span USING (recording) WHERE {_asr('text')} <> '' GROUP BY recording, role""",
-    "exact_dedup": f"""WITH {SEGMENTS}, u AS (SELECT recording, seq, speaker, start, "end", text FROM segments WHERE seq % 2 = 0 UNION ALL SELECT recording, seq + 100, speaker, start, "end", '... ' || text FROM segments)
+    "exact_dedup": f"""WITH {SEGMENTS}, u AS (SELECT recording, seq, speaker, start, "end", text FROM segments UNION ALL SELECT recording, seq + 100, speaker, start, "end", '... ' || text FROM segments)
 SELECT recording, seq, start, "end" FROM (SELECT *, row_number() OVER (PARTITION BY recording, start, "end", speaker, {norm_sql('text')} ORDER BY seq) AS k FROM u) WHERE k = 1""",
     "formal_segments": f"""WITH {_GAPS}, n AS (SELECT *, row_number() OVER w AS n, lead(start) OVER w AS nxt FROM moved WINDOW w AS (PARTITION BY recording ORDER BY start, seq))
 SELECT recording, format('seg_{{}}_{{:05d}}', recording, n) AS id, CAST(n AS INTEGER) AS seq, round(start, 3) AS start, round(CASE WHEN nxt IS NULL THEN start + duration ELSE greatest(start + 0.001, nxt) END, 3) AS "end", speaker FROM n JOIN dur USING (recording)""",

@@ -44,34 +44,45 @@ def pcm_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _audio(spark: SparkSession, d: str) -> DataFrame:
-    """Frames of a recording in a row, as one second and more of sound at 800 Hz."""
+    """Twenty frames in a row, as sound of 1.6 seconds at 800 Hz: recordings whose length does not grow with the table."""
+    rows = stereo(spark, d).withColumn("recording", F.floor(F.col("frame") / 20))
     parts = lambda c: F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("frame", c))), lambda x: x[c]))
-    return stereo(spark, d).groupBy("recording").agg(parts("left").alias("left"), parts("right").alias("right")).withColumn("rate", F.lit(800))
+    return rows.groupBy("recording").agg(parts("left").alias("left"), parts("right").alias("right")).withColumn("rate", F.lit(800))
+
+
+def _digest(c: str):
+    """Values of an array of samples in one number, each weighted by its place."""
+    terms = F.transform(S.doubles(F.col(c)), lambda x, i: x * ((i % 97) + 1))
+    return F.round(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x), 3).alias(f"{c}_digest")
 
 
 def processed_stereo(spark: SparkSession, d: str) -> DataFrame:
-    return signal.process_stereo(_audio(spark, d), ["recording"]).select("recording", F.size("mix").alias("n"), F.round("lufs_before", 4).alias("lufs_before"), F.round("lufs_after", 4).alias("lufs_after"), F.round("lufs_gain", 4).alias("lufs_gain"), F.round("peak_gain", 4).alias("peak_gain"))
+    done = signal.process_stereo(_audio(spark, d), ["recording"])
+    return done.select("recording", *map(_digest, ("left", "right", "mix")), *[F.round(c, 4).alias(c) for c in signal.FIGURES])
 
 
 def cleaned_stereo(spark: SparkSession, d: str) -> DataFrame:
-    return signal.clean_stereo(_audio(spark, d), ["recording"]).select("recording", F.size("left").alias("n"), F.round(S.rms(S.doubles(F.col("left"))), 4).alias("left_rms"), F.round(S.rms(S.doubles(F.col("right"))), 4).alias("right_rms"))
+    done = signal.clean_stereo(_audio(spark, d), ["recording"], alpha=1.02)
+    return done.select("recording", F.size("left").alias("n"), *map(_digest, ("left", "right")))
 
 
 def resampled(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "embeddings").select("vec_id", F.size(signal.resampled("embedding", F.lit(8000))).alias("n"))
+    """Values of frames taken for 8 kHz, at 16 kHz."""
+    x = signal.resampled("embedding", F.lit(8000))
+    return table(spark, d, "embeddings").select("vec_id", F.posexplode(x).alias("at", "x")).select("vec_id", "at", F.round(F.col("x").cast("double"), 5).alias("x"))
 
 
 def transcribed(spark: SparkSession, d: str) -> DataFrame:
-    """The model seam with a stand-in that says how many samples it was given."""
-    rows = table(spark, d, "embeddings").select("vec_id", F.lit(8000).alias("rate"), F.col("embedding").alias("samples"))
-    return model_seam.transcribe(rows, ["vec_id"], lambda: lambda x, rate: f"{len(x)} samples at {rate}")
+    """The model seam with a stand-in that says which of the samples it was given is the highest, and how many there are."""
+    rows = table(spark, d, "embeddings").select("vec_id", F.lit(16000).alias("rate"), F.col("embedding").alias("samples"))
+    return model_seam.transcribe(rows, ["vec_id"], lambda: lambda x, rate: f"{max(range(len(x)), key=x.__getitem__)} of {len(x)} at {rate}")
 
 
 def signal_report(spark: SparkSession, d: str) -> DataFrame:
-    rows = stereo(spark, d)
-    after = rows.withColumn("left", S.scale(S.doubles(F.col("left")), F.lit(0.5))).withColumn("right", S.scale(S.doubles(F.col("right")), F.lit(0.5)))
-    pack = lambda r, name: signal.stereo_statistics(r, ["frame"]).select("frame", F.struct(*[c for c in signal.stereo_statistics(r, ["frame"]).columns if c != "frame"]).alias(name))
-    return reports.signal_report(pack(rows, "before").join(pack(after, "after"), "frame"), ["frame"])
+    """A report per recording over all its frames."""
+    rows = signal.process_stereo(_audio(spark, d), ["recording", "rate"])
+    figures = rows.withColumn("source", F.concat(F.col("recording").cast("string"), F.lit(".wav"))).withColumn("n", F.size("mix"))
+    return reports.signal_report(figures, ["recording"])
 
 
 QUERIES = {f.__name__: f for f in (rms_dbfs, stereo_statistics, peak_gain, energy_mask, pcm_round_trip, processed_stereo, cleaned_stereo, resampled, transcribed, signal_report)}
@@ -93,6 +104,8 @@ k AS (SELECT recording, frame, CASE WHEN l > 1.02 * r THEN 1.0 ELSE 0.0 END AS l
 SELECT recording, frame, round(CAST(sum(l) OVER w AS DOUBLE) / 5, 6) AS keep_left, round(CAST(sum(r) OVER w AS DOUBLE) / 5, 6) AS keep_right FROM k WINDOW w AS (PARTITION BY recording ORDER BY frame ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)""",
     "pcm_round_trip": """WITH p AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(round_even(least(CAST(1 AS DOUBLE), greatest(CAST(-1 AS DOUBLE), CAST(v AS DOUBLE) * 2)) * 32767, 0) AS INTEGER)) AS x FROM embeddings)
 SELECT vec_id, CAST(list_sum(x) AS INTEGER) AS total, list_max(x) AS top, round(list_max(list_transform(x, lambda v: abs(v) / CAST(32768 AS DOUBLE))), 6) AS peak FROM p""",
-    "resampled": "SELECT vec_id, CAST(2 * len(embedding) AS INTEGER) AS n FROM embeddings",
-    "transcribed": "SELECT vec_id, 2 * len(embedding) || ' samples at 16000' AS text FROM embeddings",
+    "resampled": """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x, len(embedding) AS n FROM embeddings),
+p AS (SELECT vec_id, x, n, unnest(range(0, 2 * n)) AS k FROM e), q AS (SELECT *, k * CAST(n - 1 AS DOUBLE) / (2 * n - 1) AS t FROM p)
+SELECT vec_id, CAST(k AS INTEGER) AS "at", round(CAST(CAST(x[CAST(floor(t) AS INTEGER) + 1] + (t - floor(t)) * (x[least(CAST(floor(t) AS INTEGER) + 2, n)] - x[CAST(floor(t) AS INTEGER) + 1]) AS FLOAT) AS DOUBLE), 5) AS x FROM q""",
+    "transcribed": "SELECT vec_id, (list_position(embedding, list_max(embedding)) - 1) || ' of ' || len(embedding) || ' at 16000' AS text FROM embeddings",
 }

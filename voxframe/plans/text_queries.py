@@ -43,15 +43,15 @@ def collapse_letters(spark: SparkSession, d: str) -> DataFrame:
     return segments(spark, d).select("recording", "seq", F.array_join(T.collapse_letters(_spelled(F.col("text"))), " ").alias("joined"))
 
 
-def _islands(source: str, keys: str, words: str) -> str:
-    """Gaps and islands over words: letter names become letters, runs of single letters one word."""
+def islands(source: str, keys: str, words: str, p: str = "") -> str:
+    """Gaps and islands over words: letter names become letters, runs of single letters one word. CTEs up to {p}t."""
     names = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in V.LETTER_NAMES.items()) + "}"
-    return rf"""w AS (SELECT {keys}, unnest({words}) AS w0, unnest(range(1, len({words}) + 1)) AS i FROM {source}),
-m AS (SELECT {keys}, i, coalesce(names.n[w0], w0) AS w FROM w, (SELECT {names} AS n) names),
-s AS (SELECT *, regexp_full_match(w, '\p{{L}}') AS one FROM m),
-g AS (SELECT *, CASE WHEN one THEN i - row_number() OVER (PARTITION BY {keys}, one ORDER BY i) END AS g FROM s),
-j AS (SELECT {keys}, min(i) AS i, string_agg(w, '' ORDER BY i) AS w FROM g GROUP BY {keys}, coalesce('g' || g, 'i' || i)),
-t AS (SELECT {keys}, string_agg(w, ' ' ORDER BY i) AS text FROM j GROUP BY {keys})"""
+    return rf"""{p}w AS (SELECT {keys}, unnest({words}) AS w0, unnest(range(1, len({words}) + 1)) AS i FROM {source}),
+{p}m AS (SELECT {keys}, i, coalesce(names.n[w0], w0) AS w FROM {p}w, (SELECT {names} AS n) names),
+{p}s AS (SELECT *, regexp_full_match(w, '\p{{L}}') AS one FROM {p}m),
+{p}g AS (SELECT *, CASE WHEN one THEN i - row_number() OVER (PARTITION BY {keys}, one ORDER BY i) END AS g FROM {p}s),
+{p}j AS (SELECT {keys}, min(i) AS i, string_agg(w, '' ORDER BY i) AS w FROM {p}g GROUP BY {keys}, coalesce('g' || g, 'i' || i)),
+{p}t AS (SELECT {keys}, string_agg(w, ' ' ORDER BY i) AS text FROM {p}j GROUP BY {keys})"""
 
 
 def clean_segments(spark: SparkSession, d: str) -> DataFrame:
@@ -93,7 +93,7 @@ def text_contained(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ends_spelled(spark: SparkSession, d: str) -> DataFrame:
-    text = F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit(" A-B-C"))).otherwise(F.concat(F.substring("text", 1, 40), F.lit("-D")))
+    text = F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit(" A-B-C"))).otherwise(F.concat("text", F.lit("-D")))
     return table(spark, d, "documents").select("doc_id", T.ends_spelled(text).alias("spelled"))
 
 
@@ -143,8 +143,8 @@ _keys = lambda x: rf"list_transform(string_split({_flat.format(x=x)}, ' '), lamb
 ORACLE_SQL = {
     "clean_for_asr": rf"SELECT doc_id, {_flat.format(x=r"regexp_replace('[noise] ' || coalesce(text, ''), '\[.*?\]', '', 'g')")} AS clean FROM documents",
     "normalize_common": f"SELECT doc_id, {common_sql('text')} AS norm FROM documents",
-    "normalize_text": f"WITH n AS (SELECT doc_id, {tokens_sql(common_sql('text'))} AS ws FROM documents), {_islands('n', 'doc_id', 'ws')} SELECT n.doc_id, coalesce(t.text, '') AS norm FROM n LEFT JOIN t USING (doc_id)",
-    "collapse_letters": rf"WITH {SEGMENTS}, n AS (SELECT recording, seq, {tokens_sql("regexp_replace(" + norm_sql("text") + r", '([aeiou])', ' \1 ', 'g')")} AS ws FROM segments), {_islands('n', 'recording, seq', 'ws')} SELECT n.recording, n.seq, coalesce(t.text, '') AS joined FROM n LEFT JOIN t USING (recording, seq)",
+    "normalize_text": f"WITH n AS (SELECT doc_id, {tokens_sql(common_sql('text'))} AS ws FROM documents), {islands('n', 'doc_id', 'ws')} SELECT n.doc_id, coalesce(t.text, '') AS norm FROM n LEFT JOIN t USING (doc_id)",
+    "collapse_letters": rf"WITH {SEGMENTS}, n AS (SELECT recording, seq, {tokens_sql("regexp_replace(" + norm_sql("text") + r", '([aeiou])', ' \1 ', 'g')")} AS ws FROM segments), {islands('n', 'recording, seq', 'ws')} SELECT n.recording, n.seq, coalesce(t.text, '') AS joined FROM n LEFT JOIN t USING (recording, seq)",
     "clean_segments": rf"""WITH {SEGMENTS}, x AS (SELECT recording, seq, {TRIM.format(x=_seg_text)} AS t FROM segments)
 SELECT recording, seq, trim(regexp_replace({_sub('t', V.SEGMENT_PHRASES)}, '\s+', ' ', 'g'), ' .,-') AS to_line_end, trim(regexp_replace({_sub('t', V.SEGMENT_WORDS).replace("vytvořil" + chr(92) + "b", "vytvořil" + chr(92) + "b")}, '\s+', ' ', 'g'), ' .,-') AS phrases_only,
   t = '' OR {' OR '.join(f"regexp_matches(lower(t), '{p}')" for p in V.SEGMENT_PHRASES)} AS made_up FROM x""",
@@ -154,7 +154,7 @@ e AS (SELECT *, {_edge_sql('ka', 'kb', V.BOUNDARY_WORDS)} AS n FROM k)
 SELECT recording, seq, CAST({_edge_sql('a', 'b', V.OVERLAP_TOKENS)} AS INTEGER) AS shared, CAST(n AS INTEGER) AS trimmed, CAST(length(CASE WHEN n > 0 THEN array_to_string(ws[n + 1 :], ' ') ELSE following END) AS INTEGER) AS rest_chars FROM e""",
     "text_contained": f"""WITH {NEIGHBOURS}, n AS (SELECT recording, seq, {norm_sql('text')} AS a, {norm_sql('following')} AS b, {norm_sql('substring(text, 3, 12)')} AS c FROM nb)
 SELECT recording, seq, a <> '' AND b <> '' AND contains(b, a) AS in_next, c <> '' AND a <> '' AND contains(a, c) AS part_in_whole FROM n""",
-    "ends_spelled": r"SELECT doc_id, regexp_matches(CASE WHEN doc_id % 2 = 0 THEN text || ' A-B-C' ELSE substring(text, 1, 40) || '-D' END, '(?:^|[^\p{L}\p{N}_])(?:[\p{L}\p{N}_]-){2,}[\p{L}\p{N}_]$') AS spelled FROM documents",
+    "ends_spelled": r"SELECT doc_id, regexp_matches(CASE WHEN doc_id % 2 = 0 THEN text || ' A-B-C' ELSE text || '-D' END, '(?:^|[^\p{L}\p{N}_])(?:[\p{L}\p{N}_]-){2,}[\p{L}\p{N}_]$') AS spelled FROM documents",
     "word_counts": rf"WITH {SEGMENTS} SELECT speaker, CAST(sum(len({tokens_sql(_flat.format(x='text'))})) AS BIGINT) AS words, count(*) AS segments FROM segments GROUP BY speaker",
     "top_tokens": f"""WITH {SEGMENTS}, l AS (SELECT speaker, CAST(recording AS BIGINT) AS r, seq, {tokens_sql(norm_sql('text'))} AS ws FROM segments),
 w AS (SELECT speaker, r, seq, unnest(ws) AS token, unnest(range(len(ws))) AS pos FROM l),
