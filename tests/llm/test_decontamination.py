@@ -45,6 +45,17 @@ def test_empty_tables(spark, documents):
     assert [tuple(r)[1:4] for r in D.digest(D.find_leaks(documents([(1, "a b")]), none)).collect()] == [(2, 0, 0)]
 
 
+def test_batches_of_items_give_what_one_automaton_gives(spark, documents):
+    """Also of items without an id, and of two under one id."""
+    r = random.Random(6)
+    text = lambda n, letters: " ".join(r.choice(letters) for _ in range(n))
+    items = [(i % 9, text(r.choice([3, 5, 8]), "abcd")) for i in range(14)] + [(None, "e a e a"), (None, None)]
+    docs = documents([(i, text(r.randint(0, 50), "aBcde,")) for i in range(60)] + [(7, "e a e a"), (None, "e a e a b"), (8, None)])
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    one, many = ([sorted(map(str, f(docs, benchmark, window=4, max_words=w).collect())) for f in (D.find_leaks, D.clean)] for w in (10_000, 9))
+    assert one == many
+
+
 def test_clean_cuts_spans_and_drops_what_is_mostly_leaked(spark, documents):
     passage = "one two three four five six seven eight nine ten"
     benchmark = spark.createDataFrame([(1, passage)], "item_id long, text string")

@@ -31,15 +31,30 @@ def test_forward_sums_all_segmentations():
     p = r.random((8, 3))
     p /= p.sum(0)
     words = ["a", "b", "ab", "aba", "abab", "xay", "bbbbb"]
-    got = L.Lattice(words, PIECES).log_likelihood(p)
+    got = L.Lattice(words, L.Trie(PIECES)).log_likelihood(p)
     for w, row in zip(words, got):
         for k in range(3):
             assert math.isclose(row[k], math.log(brute(w, p[:, k])), rel_tol=1e-9)
 
 
+def test_long_words_are_summed_whole():
+    r = np.random.default_rng(2)
+    p = r.random((8, 3))
+    p /= p.sum(0)
+    words = ["".join(r.choice(list("abx"), n)) for n in (1, 5, 30, 39)]
+    for w, row in zip(words, L.Lattice(words, L.Trie(PIECES)).log_likelihood(p)):
+        assert np.allclose(L.long_word(w, PIECES, p), row, rtol=1e-9)
+    tall = L.long_word("ab" * 3000, PIECES, p * 1e-3)
+    assert np.isfinite(tall).all() and (tall < -10_000).all()
+    model = L.Model(["x", "y"], PIECES, p[:, :2])
+    want = model.predict(["ab " + "ba" * 30])[0]
+    total = model.predict(["ab"]) and model.scores[model.known["ab"]] + L.long_word("ba" * 30, PIECES, p[:, :2])
+    assert want == (model.languages[int(total.argmax())], float(1 / np.exp(total - total.max()).sum()))
+
+
 def test_expected_counts_and_rising_likelihood():
     words, counts = ["ab", "aba", "b", "abab"], np.array([3.0, 1.0, 2.0, 4.0])
-    lattice = L.Lattice(words, PIECES)
+    lattice = L.Lattice(words, L.Trie(PIECES))
     p = np.full((8, 1), 1 / 8)
     before = -np.inf
     for _ in range(6):

@@ -7,11 +7,15 @@ import xxhash
 from voxframe.llm import simhash
 
 
-def brute_fingerprint(text):
+def brute_words(text):
     lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     for c in "\t\n\x0b\x0c\r":
         lowered = lowered.replace(c, " ")
-    words = [w for w in lowered.split(" ") if w]
+    return [w for w in lowered.split(" ") if w]
+
+
+def brute_fingerprint(text):
+    words = brute_words(text)
     if not words:
         return 0
     shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
@@ -84,10 +88,55 @@ def test_odd_documents(documents, odd_texts):
     assert simhash.near_duplicates(documents([])).count() == 0
 
 
-def test_keep_one(documents, odd_texts):
-    kept = simhash.keep_one(documents(odd_texts))
-    assert kept.columns == documents([]).columns
-    assert sorted((r.doc_id for r in kept.collect()), key=lambda d: (d is None, d)) == [1, 4, 5, 7, 9, 10, 11, None]
+def brute_shingles(text):
+    words = brute_words(text)
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def brute_copies(texts: list) -> list[int]:
+    """Of each text the first one that it is linked to by similarities of 0.8 or more."""
+    sets, label = [brute_shingles(t) for t in texts], list(range(len(texts)))
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if (not sets[i] and not sets[j]) or (sets[i] | sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))]
+    changed = True
+    while changed:
+        changed = False
+        for i, j in links:
+            least = min(label[i], label[j])
+            if label[i] != least or label[j] != least:
+                label[i] = label[j] = least
+                changed = True
+    return label
+
+
+@pytest.mark.parametrize("cell", [8192, 4])
+def test_keep_one_equals_brute_force(documents, odd_texts, cell):
+    """One row of each group, of groups with chains of changes, of equal rows, of unlinked texts that share a doc_id."""
+    r = random.Random(8)
+    texts = list(odd_texts)
+    for k in range(12):
+        words = [f"w{r.randint(0, 400)}" for _ in range(r.choice([8, 60, 200]))]
+        for j in range(r.choice([1, 3, 12])):
+            texts.append((100 + k // 2, " ".join(words)))
+            words = list(words)
+            for _ in range(max(1, len(words) // 70)):
+                words[r.randrange(len(words))] = f"x{k} {j}"
+    label = brute_copies([t for _, t in texts])
+    want = {}
+    for (d, t), g in zip(texts, label):
+        want.setdefault(g, []).append((d is None, d or 0))
+    frame = documents(texts)
+    kept = simhash.keep_one(frame, cell=cell)
+    assert kept.columns == frame.columns
+    got = sorted((x.doc_id is None, x.doc_id or 0) for x in kept.collect())
+    assert got == sorted(min(g) for g in want.values())
+
+
+def test_keep_one_by_rows(documents, spark):
+    """Different texts under one doc_id stay; helper columns do not touch columns of their names."""
+    a, b, c = (" ".join(f"{p}{i}" for i in range(80)) for p in "abc")
+    assert sorted(x.text for x in simhash.keep_one(documents([(7, a), (7, b), (8, c), (7, a), (9, a)])).collect()) == [a, b, c]
+    odd = spark.createDataFrame([(1, a, 5, "k"), (2, a, 6, "l")], "doc_id long, text string, _row int, _FP string")
+    assert [tuple(x) for x in simhash.keep_one(odd).collect()] == [(1, a, 5, "k")]
     assert simhash.keep_one(documents([])).count() == 0
 
 

@@ -27,13 +27,15 @@ def bound_batches(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession, label: str) -> str:
     """A new folder below spark.checkpoint.dir, the one place that driver and executors share.
 
-    Only where the setting is missing (unit tests) is one set here.
+    Only where the setting is missing and the master is local (unit tests) is one set here.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = found.get() if found.isDefined() else None
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         import tempfile
 
         base = "file://" + tempfile.mkdtemp(prefix="voxframe-")
@@ -72,3 +74,15 @@ def map_arrow(df: DataFrame, schema: str, f: Callable[[Iterator[pa.RecordBatch]]
 
 def record(schema: pa.Schema, columns: list[list]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that df has no column of, whatever its letter case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out

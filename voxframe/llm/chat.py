@@ -7,6 +7,9 @@ held by one task; ``dialogues`` joins segments into whole strings where conversa
 
 Places are prefix sums in two levels: inside stretches of STRETCH turn numbers, and over the stretches.
 
+Texts and roles are rendered as they are: marks inside a text are not escaped, and it is the rows, starts and masks that
+tell turns apart, not a search for marks in a dialogue.
+
 Defined results: a null text is empty; a null role is a speaker named "unknown"; null turns come first; turns of equal
 number are ordered by role and text; repeated rows are rendered as often as they are there; speakers whose only rows are
 system turns have no perspective, and a conversation of system turns alone gives none; an empty table gives an empty

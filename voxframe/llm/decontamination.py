@@ -5,11 +5,13 @@ document's words run through it; the automaton's state and length are the longes
 item. A length of ``window`` or more means that the last ``window`` words are a window of some item; the state reached by
 suffix links that still holds ``window`` words knows which items have it. Items shorter than a window count whole.
 
-The automaton is broadcast, so the benchmark's size is checked: beyond MAX_ITEM_WORDS words an automaton is built for
-each batch of items and documents run through one after another; nothing is dropped.
+The automaton is broadcast, so its size is bounded: one takes MAX_ITEM_WORDS words of items (some 1.1 kB a word, measured).
+Of a larger benchmark one batch of items after the other is read, built, sent and run over all documents, its finds are
+written, and finds are merged by row in the end; nothing is dropped, and no two automata are held at a time.
 
-Defined results: null and empty texts have no words and are clean; null and wordless items never occur; repeated items
-are separate items with the same windows; repeated documents give repeated rows; an empty benchmark hits nothing;
+Defined results: null and empty texts have no words and are clean; null and wordless items never occur; items
+with equal item_ids count as one item, and a null item_id is named by the empty string; repeated documents give repeated
+rows; an empty benchmark hits nothing;
 columns of other names are ignored, or kept by ``clean``.
 """
 
@@ -18,18 +20,19 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import map_arrow, record, rows_of
+from ._common import fresh, map_arrow, record, rows_of, written
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
 WINDOW = 10
-#: Words of one automaton; about 400 bytes each.
-MAX_ITEM_WORDS = 1_000_000
+#: Words of one automaton (an item with more has one of its own).
+MAX_ITEM_WORDS = 100_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -104,7 +107,7 @@ class SuffixAutomaton:
         return new
 
     def find(self, words: list[str]) -> tuple[list[tuple[int, int]], set[int], int]:
-        """(spans of hit words, disjoint and in order; items with occurring windows; longest match)."""
+        """(spans of hit words, disjoint and in order; items with occurring windows; longest match, 0 if it is no window)."""
         numbers = list(map(self.vocabulary.get, words))
         spans: list[list[int]] = []
         found: set[int] = set()
@@ -130,11 +133,10 @@ class SuffixAutomaton:
                     state, size = nxt[state][c], size + 1
                 if size < least:
                     continue
-                if size > longest:
-                    longest = size
                 reach = 0
                 s = state
                 if size >= window:
+                    longest = max(longest, size)
                     while length[link[s]] >= window:
                         s = link[s]
                     found |= self.owners[s]
@@ -152,18 +154,18 @@ class SuffixAutomaton:
         return [(a, b) for a, b in spans], found, longest
 
 
-def automata(benchmark: DataFrame, window: int = WINDOW, max_words: int = MAX_ITEM_WORDS) -> list[SuffixAutomaton]:
-    """Automata over all items, each of at most max_words words (or one item)."""
-    groups: list[list[tuple]] = [[]]
+def batches(benchmark: DataFrame, max_words: int) -> Iterator[list[tuple]]:
+    """Items (id, words) in batches of at most max_words words, or of one item."""
+    group: list[tuple] = []
     held = 0
     for item, text in benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).toLocalIterator():
         words = words_of(text)
-        if groups[-1] and held + len(words) > max_words:
-            groups.append([])
-            held = 0
-        groups[-1].append((item, words))
+        if group and held + len(words) > max_words:
+            yield group
+            group, held = [], 0
+        group.append(("" if item is None else item, words))
         held += len(words)
-    return [SuffixAutomaton(g, window) for g in groups]
+    yield group
 
 
 def _merged(parts: list[tuple[list[tuple[int, int]], set, int]]) -> tuple[list[tuple[int, int]], set, int]:
@@ -178,26 +180,79 @@ def _merged(parts: list[tuple[list[tuple[int, int]], set, int]]) -> tuple[list[t
     return spans, set().union(*(p[1] for p in parts)), max(p[2] for p in parts)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_words: int = MAX_ITEM_WORDS) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items (sorted as strings), longest match, spans of hit words."""
-    shared = docs.sparkSession.sparkContext.broadcast(automata(benchmark, window, max_words))
-    span = pa.struct([("first", pa.int64()), ("end", pa.int64())])
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("longest", pa.int64()), ("spans", pa.list_(span))])
+_SPAN = pa.struct([("first", pa.int64()), ("end", pa.int64())])
+_FOUND = pa.schema([("n_words", pa.int64()), ("items", pa.list_(pa.string())), ("longest", pa.int64()), ("spans", pa.list_(_SPAN))])
+_FOUND_DDL = "n_words long, items array<string>, longest long, spans array<struct<first: long, end: long>>"
+
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scanned(docs: DataFrame, key: str, group: list[tuple], window: int) -> tuple[DataFrame, object]:
+    """key and _FOUND of every document against one batch of items, and the broadcast that it needs."""
+    shared = docs.sparkSession.sparkContext.broadcast(SuffixAutomaton(group, window))
+    schema = pa.schema([(key, pa.int64()), *_FOUND])
+
+    def scan(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = shared.value
-        for batch in batches:
+        for batch in chunks:
             out: list[list] = [[] for _ in schema]
-            for doc, text in rows_of(batch, "doc_id", "text"):
+            for row, text in rows_of(batch, key, "text"):
                 words = words_of(text)
-                spans, items, longest = _merged([(s, {a.ids[k] for k in ks}, m) for a in found for s, ks, m in [a.find(words)]])
-                row = (doc, len(words), sum(b - a for a, b in spans), sorted("" if i is None else i for i in items), longest, [{"first": a, "end": b} for a, b in spans])
-                for column, value in zip(out, row):
+                spans, items, longest = found.find(words)
+                names = sorted({found.ids[k] for k in items})
+                for column, value in zip(out, (row, len(words), names, longest, [{"first": a, "end": b} for a, b in spans])):
+                    column.append(value)
+            yield record(schema, out)
+
+    narrow = docs.select(F.col(key).cast("long").alias(key), F.col("text").cast("string").alias("text"))
+    return map_arrow(narrow, f"`{key}` long, {_FOUND_DDL}", scan), shared
+
+
+def _leaks(docs: DataFrame, key: str, benchmark: DataFrame, window: int, max_words: int, by_row: bool) -> DataFrame:
+    """key and _FOUND of every document. by_row: key tells rows apart, so that finds of several batches can be merged."""
+    groups = batches(benchmark, max_words)
+    first = next(groups)
+    second = next(groups, None)
+    if second is None:
+        return _scanned(docs, key, first, window)[0]
+    if not by_row:
+        raise ValueError("a benchmark of several batches needs rows that can be told apart")
+    parts = None
+    for group in chain([first, second], groups):
+        found, shared = _scanned(docs, key, group, window)
+        one = written(found, "leaks")
+        shared.destroy()
+        parts = one if parts is None else parts.unionByName(one)
+    schema = pa.schema([(key, pa.int64()), *_FOUND])
+
+    def merge(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks:
+            out: list[list] = [[] for _ in schema]
+            for row, n_words, some in rows_of(batch, key, "n_words", "some"):
+                finds = [([(x["first"], x["end"]) for x in f["spans"]], set(f["items"]), f["longest"]) for f in some]
+                spans, items, longest = _merged(finds)
+                for column, value in zip(out, (row, n_words, sorted(items), longest, [{"first": a, "end": b} for a, b in spans])):
                     column.append(value)
             yield record(schema, out)
 
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_arrow(narrow, "doc_id long, n_words long, n_hit long, items array<string>, longest long, spans array<struct<first: long, end: long>>", scan)
+    # a row's finds are one per batch of items
+    together = parts.groupBy(key).agg(F.max("n_words").alias("n_words"), F.collect_list(F.struct("items", "longest", "spans")).alias("some"))
+    return map_arrow(together, f"`{key}` long, {_FOUND_DDL}", merge)
+
+
+def _one_batch(benchmark: DataFrame, max_words: int) -> bool:
+    groups = batches(benchmark, max_words)
+    next(groups)
+    return next(groups, None) is None
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_words: int = MAX_ITEM_WORDS) -> DataFrame:
+    """doc_id, n_words, n_hit, items (sorted as strings), longest match, spans of hit words."""
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["first"]).alias("n_hit")
+    wanted = ["n_words", hit, "items", "longest", "spans"]
+    if _one_batch(benchmark, max_words):
+        return _leaks(docs, "doc_id", benchmark, window, max_words, False).select("doc_id", *wanted)
+    numbered = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    numbered = written(numbered, "numbered")  # so that the numbers mean the same rows from here on
+    return numbered.select("_row", "doc_id").join(_leaks(numbered, "_row", benchmark, window, max_words, True), "_row").select("doc_id", *wanted)
 
 
 def digest(leaks: DataFrame) -> DataFrame:
@@ -207,30 +262,41 @@ def digest(leaks: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = 0.5, max_words: int = MAX_ITEM_WORDS) -> DataFrame:
     """docs without leaked passages: hit spans are cut out of the texts, and documents of which more than max_coverage is
     hit go. Columns stay as they are, n_chars (if there) follows the text."""
-    shared = docs.sparkSession.sparkContext.broadcast(automata(benchmark, window, max_words))
     text_at = docs.columns.index("text")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = shared.value
-        for batch in batches:
+    columns = docs.columns
+    if _one_batch(benchmark, max_words):
+        shared = docs.sparkSession.sparkContext.broadcast(SuffixAutomaton(next(batches(benchmark, max_words)), window))
+        rows, spans_at = docs, None
+    else:
+        row, spans_name = fresh(docs, "_row", "_spans")
+        numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+        found = _leaks(numbered, row, benchmark, window, max_words, True).select(row, F.col("spans").alias(spans_name))
+        rows = numbered.join(found, row).select(*columns, spans_name)
+        shared, spans_at = None, len(columns)
+
+    def cut(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks:
+            known = None if spans_at is None else batch.column(spans_at).to_pylist()
             texts, keep = [], []
-            for text in batch.column(text_at).to_pylist():
+            for k, text in enumerate(batch.column(text_at).to_pylist()):
                 lowered = text.translate(LOWER) if text else ""
                 places = [m.span() for m in WORD.finditer(lowered)]
-                words = [lowered[a:b] for a, b in places]
-                spans = _merged([a.find(words) for a in found])[0]
-                keep.append(sum(b - a for a, b in spans) <= max_coverage * len(words))
+                if known is None:
+                    spans = shared.value.find([lowered[a:b] for a, b in places])[0]
+                else:
+                    spans = [(s["first"], s["end"]) for s in known[k]]
+                keep.append(sum(b - a for a, b in spans) <= max_coverage * len(places))
                 for a, b in reversed(spans):
                     text = text[: places[a][0]] + text[places[b - 1][1] :]
                 texts.append(text)
-            columns = batch.columns
-            columns[text_at] = pa.array(texts, columns[text_at].type)
-            if "n_chars" in batch.schema.names:
-                at = batch.schema.names.index("n_chars")
-                columns[at] = pa.array([None if t is None else len(t) for t in texts], columns[at].type)
-            yield pa.record_batch(columns, schema=batch.schema).filter(pa.array(keep))
+            out = batch.columns[: len(columns)]
+            out[text_at] = pa.array(texts, out[text_at].type)
+            if "n_chars" in columns:
+                at = columns.index("n_chars")
+                out[at] = pa.array([None if t is None else len(t) for t in texts], out[at].type)
+            yield pa.RecordBatch.from_arrays(out, names=columns).filter(pa.array(keep, pa.bool_()))
 
-    return map_arrow(docs, docs.schema, cut)
+    return map_arrow(rows, docs.schema, cut)
 
 
 def digest_sql(window: int = WINDOW) -> str:
@@ -238,7 +304,7 @@ def digest_sql(window: int = WINDOW) -> str:
     words = r"regexp_extract_all(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
     return f"""
 WITH d AS (SELECT doc_id, {words.format(t="coalesce(text, '')")} AS w FROM documents),
-b AS (SELECT CAST(item_id AS VARCHAR) AS item, {words.format(t="coalesce(text, '')")} AS w FROM benchmark),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {words.format(t="coalesce(text, '')")} AS w FROM benchmark),
 bw AS (SELECT DISTINCT item, least(len(w), {window}) AS k, array_to_string(w[i : i + least(len(w), {window}) - 1], ' ') AS x
   FROM b, range(1, len(w) - least(len(w), {window}) + 2) r(i) WHERE len(w) > 0),
 ks AS (SELECT DISTINCT k FROM bw),

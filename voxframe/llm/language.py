@@ -9,8 +9,9 @@ Piece probabilities are fitted by expectation maximisation (forward-backward ove
 each language the first ``per_language`` documents by a hash of doc_id. Only rows with a language take part, and only
 those that ``learnable`` admits.
 
-Words are maximal runs of letters, lower-cased, with the vocabulary's word mark in front; runs of over 24 letters are
-read as several. A letter outside the vocabulary counts as one unknown piece.
+Words are maximal runs of letters of any length, lower-cased, with the vocabulary's word mark in front. A letter outside
+the vocabulary counts as one unknown piece. Words of over LONG letters are scored one by one, with scaled sums, and not
+learned from.
 
 Defined results: ``und`` with score 0 if a text is null or has no letter, or if there was nothing to learn from; equal
 likelihoods go to the language that sorts first; repeated rows count and are scored row by row; rows with a null lang
@@ -31,7 +32,9 @@ from pyspark.sql import functions as F
 from ._common import map_arrow, record, rows_of
 
 UNKNOWN = "und"
-WORD = re.compile(r"[^\W\d_]{1,24}")
+WORD = re.compile(r"[^\W\d_]+")
+#: Letters of a word up to which its probabilities are sure to be above the smallest double.
+LONG = 40
 MARK = "▁"
 #: Documents of a language that are learned from, at most.
 PER_LANGUAGE = 600
@@ -47,29 +50,62 @@ def vocabulary(path: str) -> dict[str, int]:
     return {p: k for k, p in enumerate((p for p in pieces if p.lstrip(MARK).isalpha() and p.lower() == p or p == MARK), 1)}
 
 
+class Trie:
+    """The vocabulary's pieces letter by letter: edges as sorted numbers (node, letter), looked up many at a time."""
+
+    def __init__(self, vocabulary: dict[str, int]):
+        nodes, edges = {"": 0}, []
+        for piece in vocabulary:
+            for k in range(1, len(piece) + 1):
+                if piece[:k] not in nodes:
+                    nodes[piece[:k]] = len(nodes)
+                    edges.append((nodes[piece[: k - 1]] << 21 | ord(piece[k - 1]), nodes[piece[:k]]))
+        edges.sort()
+        # a last edge that no letter takes, so that every look-up finds some place
+        self.keys = np.array([k for k, _ in edges] + [np.iinfo(np.int64).max], np.int64)
+        self.child = np.array([c for _, c in edges] + [0], np.int64)
+        self.piece = np.zeros(len(nodes), np.int64)
+        for piece, number in vocabulary.items():
+            self.piece[nodes[piece]] = number
+
+    def step(self, node: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        """Nodes reached, 0 where there is no such edge."""
+        key = node << 21 | letter
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.child[at], 0)
+
+
 class Lattice:
-    """All piece occurrences in some words, ordered for a sweep over end positions."""
-
-    def __init__(self, words: list[str], vocabulary: dict[str, int]):
-        longest = max(map(len, vocabulary), default=1)
-        self.n, self.width = len(words), max(map(len, words), default=0) + 2
-        word, start, end, piece = [], [], [], []
-        get = vocabulary.get
-        for k, w in enumerate(words):
-            w = MARK + w
-            size = len(w)
-            for s in range(size):
-                for e in range(s + 1, min(s + longest, size) + 1):
-                    p = get(w[s:e])
-                    if p is not None or e == s + 1:
-                        word.append(k), start.append(s), end.append(e), piece.append(p or 0)
-        self.word, self.start, self.end, self.piece = (np.array(x, np.int64) for x in (word, start, end, piece))
-        order = np.lexsort((self.word, self.end - self.start, self.end))
-        self.word, self.start, self.end, self.piece = self.word[order], self.start[order], self.end[order], self.piece[order]
-        cut = np.flatnonzero(np.diff(self.end * 64 + (self.end - self.start))) + 1
+    """All piece occurrences in some words of at most LONG letters, ordered for a sweep over end positions."""
+
+    def __init__(self, words: list[str], trie: Trie):
+        self.n = len(words)
+        sizes = np.array([len(w) + 1 for w in words], np.int64)
+        self.width = int(sizes.max(initial=0)) + 1
+        letters = np.frombuffer("".join(MARK + w for w in words).encode("utf-32-le"), "<u4").astype(np.int64)
+        first = np.cumsum(sizes) - sizes
+        word = np.repeat(np.arange(self.n), sizes)
+        start = np.arange(len(letters)) - first[word]
+        left = sizes[word] - start
+        node, at = np.zeros(len(letters), np.int64), np.arange(len(letters))
+        found, length = [], 1
+        while len(at):  # all places at once, a letter further each time
+            node = trie.step(node, letters[at + length - 1])
+            piece = trie.piece[node]
+            use = (piece > 0) | (length == 1)
+            found.append((word[at[use]], start[at[use]], np.full(int(use.sum()), length), piece[use]))
+            on = (node > 0) & (left[at] > length)
+            node, at = node[on], at[on]
+            length += 1
+        columns = [np.concatenate(c) if found else np.zeros(0, np.int64) for c in (zip(*found) if found else [()] * 4)]
+        key = ((columns[1] + columns[2]) * 64 + columns[2]).astype(np.uint16)  # end and length; both are under 64
+        order = np.argsort(key, kind="stable")
+        self.word, self.start, size, self.piece = (c[order] for c in columns)
+        self.end = self.start + size
+        cut = np.flatnonzero(np.diff(key[order])) + 1
         #: within a step a word occurs once, as start and end are fixed
         self.steps = [slice(a, b) for a, b in zip([0, *cut], [*cut, len(self.end)])] if len(self.end) else []
-        self.last = np.array([len(w) + 1 for w in words], np.int64)
+        self.last = sizes
 
     def forward(self, p: np.ndarray) -> np.ndarray:
         """p: (pieces, languages) -> (words, positions, languages)"""
@@ -97,9 +133,29 @@ class Lattice:
         return np.bincount(self.piece, use, len(q))
 
 
+def long_word(word: str, vocabulary: dict[str, int], p: np.ndarray) -> np.ndarray:
+    """Log-likelihoods of a word of any length: the same sum, with sums that get small scaled up, for each language."""
+    text, longest = MARK + word, max(map(len, vocabulary), default=1)
+    sums, up = [np.ones(p.shape[1])], np.zeros(p.shape[1])
+    for end in range(1, len(text) + 1):
+        here = np.zeros(p.shape[1])
+        for k, before in enumerate(reversed(sums), 1):
+            piece = vocabulary.get(text[end - k : end], 0 if k == 1 else None)
+            if piece is not None:
+                here += before * p[piece]
+        sums = [*sums[-(longest - 1) :], here] if longest > 1 else [here]
+        small = here < 1e-100
+        if small.any():
+            for s in sums:
+                s[small] *= 1e100
+            up[small] += 100
+    return np.log(np.maximum(sums[-1], 1e-290)) - up * np.log(10)
+
+
 class Model:
     def __init__(self, languages: list[str], vocabulary: dict[str, int], p: np.ndarray, limit: int = 300_000):
         self.languages, self.vocabulary, self.p, self.limit = languages, vocabulary, p, limit
+        self.trie = Trie(vocabulary)
         self.known: dict[str, int] = {}
         self.scores = np.zeros((0, len(languages)), np.float64)
 
@@ -118,13 +174,16 @@ class Model:
             self.scores = table
         for a in range(0, len(new), 4096):
             some = new[a : a + 4096]
-            self.scores[at + a : at + a + len(some)] = Lattice(some, self.vocabulary).log_likelihood(self.p)
+            self.scores[at + a : at + a + len(some)] = Lattice(some, self.trie).log_likelihood(self.p)
         self.known.update(zip(new, range(at, at + len(new))))
 
     def predict(self, texts: list[str | None], block: int = 128) -> list[tuple[str, float]]:
         out = []
         for at in range(0, len(texts), block):
             cut = [WORD.findall(t.lower()) if t else [] for t in texts[at : at + block]]
+            tall = [[w for w in words if len(w) > LONG] for words in cut]
+            if any(tall):
+                cut = [[w for w in words if len(w) <= LONG] for words in cut]
             there = set().union(*cut)
             missing = there.difference(self.known)
             if len(self.known) + len(missing) > self.limit:
@@ -132,11 +191,13 @@ class Model:
                 self.known.clear()
             if missing and self.languages:
                 self.learn(missing)
-            for words in cut:
-                if not self.languages or not any(c.isalpha() for w in words for c in w):
+            for words, long_ones in zip(cut, tall):
+                if not self.languages or not any(c.isalpha() for w in (*words, *long_ones) for c in w):
                     out.append((UNKNOWN, 0.0))
                     continue
                 total = self.scores[list(map(self.known.__getitem__, words))].sum(0)
+                for w in long_ones:
+                    total = total + long_word(w, self.vocabulary, self.p)
                 best = int(total.argmax())
                 out.append((self.languages[best], float(1 / np.exp(np.maximum(total - total[best], -700)).sum())))
         return out
@@ -164,13 +225,14 @@ def fit(docs: DataFrame, path: str, learnable: Column | None = None, per_languag
     some = some.join(F.broadcast(chosen.distinct()), ["id", "language"], "left_semi").where("text is not null")
     counts: dict[str, Counter] = {k: Counter() for k in sizes}
     for language, text in some.select("language", "text").toLocalIterator():
-        counts[language].update(WORD.findall(text.lower()))
+        counts[language].update(w for w in WORD.findall(text.lower()) if len(w) <= LONG)
     languages = sorted(k for k, c in counts.items() if c)
     pieces = vocabulary(path)
+    trie = Trie(pieces)
     columns = []
     for language in languages:
         words = sorted(counts[language])
-        blocks = [(Lattice(words[a : a + 8192], pieces), np.array([counts[language][w] for w in words[a : a + 8192]], float)) for a in range(0, len(words), 8192)]
+        blocks = [(Lattice(words[a : a + 8192], trie), np.array([counts[language][w] for w in words[a : a + 8192]], float)) for a in range(0, len(words), 8192)]
         p = np.full((len(pieces) + 1, 1), 1.0 / (len(pieces) + 1))
         for _ in range(rounds):
             use = sum(lattice.expected(p, c) for lattice, c in blocks)

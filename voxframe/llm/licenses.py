@@ -55,6 +55,14 @@ NEGATIVES = [
     "the copyright dispute was settled", "license fees rose again", "written permission from a parent is needed", "the source of the river", "gnu and zebra graze on the plain",
     "the committee licensed a new operator", "creative people in common spaces", "commons debate on attribution of the attack", "the software was free and easy to modify",
 ]
+#: Licences outside the families: what the unknown class has to hold back.
+FOREIGN = [
+    "Licensed under the ISC license", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3", "Licensed under the GNU Affero General Public License v3", "Eclipse Public License - v 2.0",
+    "Released under the Eclipse Public License 1.0", "Boost Software License - Version 1.0", "Distributed under the zlib license", "Released under the Artistic License 2.0",
+    "Licensed under the European Union Public Licence 1.2", "Licensed under the Microsoft Public License", "Common Development and Distribution License Version 1.0", "Licensed under the Open Software License 3.0",
+    "SIL Open Font License Version 1.1", "Licensed under the Server Side Public License version 1", "Licensed under the Business Source License 1.1", "Licensed under the Python Software Foundation License Version 2",
+    "Released under the PostgreSQL License", "Distributed under the terms of the Ruby license", "SPDX-License-Identifier: ISC", "SPDX-License-Identifier: AGPL-3.0-only", "SPDX-License-Identifier: EPL-2.0", "SPDX-License-Identifier: Zlib",
+]
 
 
 def words_of(paragraph: str) -> list[str]:
@@ -90,6 +98,9 @@ def _examples(r: random.Random, n: int) -> list[tuple[list[str], str]]:
             for notice in notices:
                 words = [w for w in words_of(notice) if r.random() > 0.06]
                 out.append((noise(r.choice([0, 0, 0, 2, 6])) + words + noise(r.choice([0, 0, 0, 3])), family))
+        for text in FOREIGN:
+            words = [w for w in words_of(text) if r.random() > 0.03]
+            out.append((noise(r.choice([0, 0, 2])) + words + noise(r.choice([0, 0, 3])), UNKNOWN))
         for text in NEGATIVES:
             out.append((noise(r.choice([0, 2])) + [w for w in words_of(text) if r.random() > 0.1] + noise(r.choice([0, 3])), UNKNOWN))
         for _ in range(40):
@@ -101,7 +112,7 @@ def _examples(r: random.Random, n: int) -> list[tuple[list[str], str]]:
 def trained(seed: int = 5, variants: int = 12, rounds: int = 250) -> Classifier:
     r = random.Random(seed)
     data, held = _examples(r, variants), _examples(r, variants)
-    grams = sorted({g for notices in NOTICES.values() for notice in notices for g in grams_of(words_of(notice))})
+    grams = sorted({g for notices in (*NOTICES.values(), FOREIGN) for notice in notices for g in grams_of(words_of(notice))})
     number = {g: i for i, g in enumerate(grams)}
     classes = [*sorted(NOTICES), UNKNOWN]
     x = np.zeros((len(data), len(grams)))

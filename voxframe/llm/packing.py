@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokenization
-from ._common import map_arrow, record, rows_of, written
+from ._common import fresh, map_arrow, record, rows_of, written
 
 CAPACITY = 4096
-#: Groups per length for ranking.
-SALTS = 256
+#: Groups per length for ranking, at least, and the rows that a group is to have at most.
+SALTS, GROUP_ROWS = 256, 200_000
 
 
 def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = CAPACITY, leading_space: bool = False) -> DataFrame:
@@ -181,18 +181,20 @@ def slots(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
 
 
 def pack(parts: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> DataFrame:
-    """parts (with doc_id, piece, length) plus sequence_id and offset. parts is read twice: pass a written table."""
+    """parts (with doc_id, piece, length, ids_crc32) plus sequence_id and offset. parts is read twice: pass a written table."""
     spark = parts.sparkSession
-    key = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int")
-    salted = parts.withColumn("_salt", key)
-    counts = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
-    histogram = {int(r[0]): int(r[1]) for r in counts.groupBy("length").agg(F.sum("_n")).collect()}  # capacity rows at most
+    rows = parts.groupBy("length").agg(F.count("*").alias("n")).collect()  # capacity rows at most
+    histogram = {int(r[0]): int(r[1]) for r in rows}
+    salts = max(salts, -(-max(histogram.values(), default=0) // GROUP_ROWS))
+    salt, k, rank, base = fresh(parts, "_salt", "_k", "_rank", "_base")
+    salted = parts.withColumn(salt, F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
+    counts = salted.groupBy("length", salt).agg(F.count("*").alias("_n"))
     places = spark.sparkContext.broadcast(slots(histogram, capacity))  # bounded by the number of lengths, not of documents
-    before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select("length", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    local = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")
-    ranked = salted.withColumn("_k", F.row_number().over(local) - 1).join(bases, ["length", "_salt"])
-    ranked = ranked.withColumn("_rank", F.col("_base") + F.col("_k")).select(*parts.columns, "_rank")
+    before = Window.partitionBy("length").orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select("length", salt, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias(base))
+    local = Window.partitionBy("length", salt).orderBy("doc_id", "piece")
+    ranked = salted.withColumn(k, F.row_number().over(local) - 1).join(bases, ["length", salt])
+    ranked = ranked.select(*parts.columns, (F.col(base) + F.col(k)).alias(rank))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema) + ", sequence_id long, offset long"
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,9 +203,9 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> Data
         keys = table[:, 0] * step + table[:, 1]
         for batch in batches:
             length = batch.column(batch.schema.get_field_index("length")).to_numpy().astype(np.int64)
-            rank = batch.column(batch.schema.get_field_index("_rank")).to_numpy().astype(np.int64)
-            row = table[np.searchsorted(keys, length * step + rank, "right") - 1]
-            nth = rank - row[:, 1]
+            ranks = batch.column(batch.num_columns - 1).to_numpy().astype(np.int64)
+            row = table[np.searchsorted(keys, length * step + ranks, "right") - 1]
+            nth = ranks - row[:, 1]
             kept = [batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.record_batch([*kept, pa.array(row[:, 2] + nth // row[:, 3]), pa.array(row[:, 4] + nth % row[:, 3] * length)], names=[*batch.schema.names[:-1], "sequence_id", "offset"])
 

@@ -74,22 +74,24 @@ def shard_of(key: Column, tree: Tree) -> Column:
 def assign(docs: DataFrame, tree: Tree, grown: Tree, blocks: int = BLOCKS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard (the shard in the tree ``grown``).
 
-    Slots number a shard's rows without gaps: rows are numbered inside groups given by a hash of doc_id, and groups
+    Slots number a shard's rows without gaps: rows are numbered inside groups given by a hash of doc_id and text, and groups
     start where prefix sums over their sizes say. Texts are read once and not shuffled.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     key = F.col("doc_id")
+    # of the text too, so that rows that share a doc_id, or have none, are many groups
+    block = F.pmod(F.xxhash64(key.cast("string"), F.crc32(text), F.lit("slot")), F.lit(blocks)).cast("int").alias("_block")
     rows = docs.select(
         key.cast("long").alias("doc_id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
         shard_of(key, tree).alias("shard"),
         shard_of(key, grown).alias("grown_shard"),
-        F.pmod(F.xxhash64(key.cast("string"), F.lit("slot")), F.lit(blocks)).cast("int").alias("_block"),
+        block,
     )
     inside = Window.partitionBy("shard", "_block").orderBy("doc_id", "text_crc32", "size")
     numbered = rows.withColumn("_k", F.row_number().over(inside) - 1)
-    sizes = docs.select(shard_of(key, tree).alias("shard"), F.pmod(F.xxhash64(key.cast("string"), F.lit("slot")), F.lit(blocks)).cast("int").alias("_block"))
+    sizes = docs.select(shard_of(key, tree).alias("shard"), block)
     sizes = sizes.groupBy("shard", "_block").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("shard").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select("shard", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))

@@ -14,6 +14,12 @@ In a cell a BK-tree (children keyed by their distance to the parent) is searched
 the radius of the query's distance. A cell emits the links that join two of its components, not all pairs. Components
 over cells come from alternating star contractions on these links, whose lineage is cut in the shared folder.
 
+``keep_one`` is for whole near copies: texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
+Their fingerprints lie up to some 20 bits apart, too far for blocks to agree. There shards come from minimum hashes of
+the shingles (8 bands of 3; texts that are 0.8 alike share one with a probability of 0.997, more alike ones more), every
+component of a shard has its own BK-tree, searched within COPY_RADIUS bits, and what it finds is held against the true
+similarity. A text is compared with a component until the first true copy, so large groups of copies cost little.
+
 Defined results: null or wordless texts have fingerprint zero and are linked like any other; texts shorter than a shingle
 count whole; repeated rows stay and share a component; a null doc_id takes part, but never names a component unless all
 its members' are null; an empty table gives an empty result; columns other than doc_id and text are ignored.
@@ -29,34 +35,49 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import map_arrow, record, rows_of, written
+from ._common import fresh, map_arrow, record, rows_of, written
 
 RADIUS = 2
 SHINGLE = 3
 #: Fingerprints of one tree.
 SHARD = 2048
+#: Near copies: words of a shingle, least similarity, bits searched, and bands by rows of minimum hashes.
+COPY_SHINGLE, COPY_SIMILARITY, COPY_RADIUS = 5, 0.8, 24
+BANDS, BAND_ROWS = 8, 3
+#: Texts, and bytes of shingle sets, of one cell of near copies.
+COPY_CELL, COPY_BYTES = 8192, 1 << 26
 PAIRS = list(combinations(range(4), 2))
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of each run of ``shingle`` lower-cased words, of the whole sequence if it is shorter."""
     import xxhash
 
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     digest = xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        return digest(b" ".join(words), 42)
     joined = b" ".join(words)
+    if len(words) <= shingle:
+        return np.array([digest(joined, 42)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = [0, *(ends[: -shingle] + 1).tolist()]
-    hashes = np.array([digest(joined[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :].tolist())], np.uint64)
+    starts = [0, *(ends[:-shingle] + 1).tolist()]
+    return np.array([digest(joined[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :].tolist())], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint: bits that over half of the hashes have."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 4096):
-        counts += np.unpackbits(hashes[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        bits = np.unpackbits(hashes[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        counts += bits.sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(counts * 2 > len(hashes), bitorder="little").tobytes(), "little")
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    return majority(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp (the fingerprint's 64 bits as a signed long)."""
     schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
@@ -72,11 +93,35 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 class BKTree:
-    """Children are keyed by their Hamming distance to the parent."""
+    """Children are keyed by their Hamming distance to the parent. A node: fingerprint, children, what was put there."""
 
     def __init__(self):
         self.root: list | None = None
 
+    def put(self, x: int, value) -> None:
+        """Add x with a value of its own; equal fingerprints share a node."""
+        if self.root is None:
+            self.root = [x, {}, [value]]
+            return
+        node = self.root
+        while d := (x ^ node[0]).bit_count():
+            child = node[1].get(d)
+            if child is None:
+                node[1][d] = [x, {}, [value]]
+                return
+            node = child
+        node[2].append(value)
+
+    def near(self, x: int, radius: int) -> Iterator[list]:
+        """Nodes within the radius, those that are found first at once."""
+        todo = [self.root] if self.root else []
+        while todo:
+            node = todo.pop()
+            d = (x ^ node[0]).bit_count()
+            if d <= radius:
+                yield node
+            todo += [child for k, child in node[1].items() if d - radius <= k <= d + radius]
+
     def add(self, x: int) -> None:
         if self.root is None:
             self.root = [x, {}]
@@ -183,9 +228,17 @@ def links(distinct: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> Data
     return dealt.mapInArrow(search, "a long, b long")
 
 
+def _mark(edges: DataFrame) -> tuple:
+    """What two sets of different edges have in common only if they are the same: their number and two sums of hashes."""
+    h = F.xxhash64("u", "v")
+    parts = [F.shiftrightunsigned(h, 32), h.bitwiseAND(F.lit((1 << 32) - 1))]
+    return tuple(edges.agg(F.count("*"), *map(F.sum, parts), F.bit_xor(F.xxhash64("v", "u"))).first())
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of edges (a, b): alternating large and small stars until nothing changes."""
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    before = _mark(edges)
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -194,9 +247,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         small = large.join(least, "u")
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         new = written(small, "links")
-        if new.exceptAll(edges).isEmpty() and edges.exceptAll(new).isEmpty():
+        after = _mark(new)
+        if after == before:
             return new.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(new.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        edges = new
+        edges, before = new, after
     raise RuntimeError(f"no fixed point after {rounds} rounds")
 
 
@@ -213,14 +267,146 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     return marked.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """docs with one document of each component: that with the smallest doc_id, of rows that share it the smallest text.
+# ---- near copies -------------------------------------------------------------------------------------------------------
+
+_MULTIPLIERS = np.random.default_rng(97).integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """One signed 64-bit number per band: a hash of its minimum hashes."""
+    import xxhash
+
+    least = np.full(len(_MULTIPLIERS), np.iinfo(np.uint64).max, np.uint64)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(hashes), 4096):
+            least = np.minimum(least, (hashes[at : at + 4096, None] * _MULTIPLIERS).min(0))
+    digests = [xxhash.xxh64_intdigest(least[k : k + BAND_ROWS].tobytes(), k) for k in range(0, len(least), BAND_ROWS)]
+    return np.array(digests, np.uint64).view(np.int64).tolist()
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sorted arrays of different numbers."""
+    small, large = sorted((a, b), key=len)
+    if len(small) < COPY_SIMILARITY * len(large) or not len(large):
+        return float(len(a) == len(b))  # sizes that differ so much cannot be similar enough; none and none are the same
+    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    both = int((large[at] == small).sum())
+    return both / (len(a) + len(b) - both)
+
+
+class Copies:
+    """Components of near copies, each with a BK-tree of fingerprints; add() gives the links that join components."""
+
+    def __init__(self, radius: int, similarity: float):
+        self.radius, self.similarity = radius, similarity
+        self.trees: list[BKTree] = []
+        self.held: list[list[tuple[int, int, np.ndarray]]] = []
+
+    def _copy_in(self, k: int, fp: int, shingles: np.ndarray) -> int | None:
+        for node in self.trees[k].near(fp, self.radius):
+            for row, own in node[2]:
+                if jaccard(own, shingles) >= self.similarity:
+                    return row
+        return None
+
+    def add(self, row: int, fp: int, shingles: np.ndarray, query: bool) -> list[tuple[int, int]]:
+        found = [(k, other) for k in range(len(self.trees)) if (other := self._copy_in(k, fp, shingles)) is not None]
+        joined = [k for k, _ in found]
+        if query and len(joined) < 2:
+            return [(row, other) for _, other in found]
+        into = max(joined, key=lambda k: len(self.held[k]), default=None)
+        if into is None:
+            into = len(self.trees)
+            self.trees.append(BKTree())
+            self.held.append([])
+        moved = [x for k in joined if k != into for x in self.held[k]] + ([] if query else [(row, fp, shingles)])
+        for r, f, s in moved:
+            self.trees[into].put(f, (r, s))
+        self.held[into] += moved
+        for k in sorted((k for k in joined if k != into), reverse=True):
+            del self.trees[k], self.held[k]
+        return [(row, other) for _, other in found]
+
+
+def copy_links(texts: DataFrame, radius: int, similarity: float, cell: int = COPY_CELL, cell_bytes: int = COPY_BYTES) -> DataFrame:
+    """Links (a, b) that join all components of texts (id, text, fp, bands, n_shingles)."""
+    spark = texts.sparkSession
+    members = texts.select("id", "fp", "n_shingles", F.posexplode("bands").alias("band", "k"))
+    sizes = members.groupBy("band", "k").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("words")).where("n > 1")
+    cells = F.greatest(F.ceil(F.col("n") / cell), F.ceil(F.col("words") * 8 / cell_bytes)).cast("int")
+    shared = members.join(sizes, ["band", "k"]).select("id", "fp", "band", "k", cells.alias("cells"))
+    shared = shared.groupBy("id", "fp").agg(F.collect_list(F.struct("band", "k", "cells")).alias("at"))  # BANDS at most
+    schema = pa.schema([("id", pa.int64()), ("shingles", pa.binary())])
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = list(rows_of(batch, "id", "text"))
+            sets = [np.unique(shingle_hashes(t, COPY_SHINGLE)).tobytes() for _, t in rows]
+            yield record(schema, [[i for i, _ in rows], sets])
+
+    # only texts that share a band with another one are read again, and only their shingles are shuffled
+    wanted = texts.select("id", "text").join(shared.select("id"), "id", "left_semi")
+    sets = map_arrow(wanted, "id long, shingles binary", make)
+    dealt = shared.join(sets, "id").select("id", "fp", "shingles", F.inline("at"))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), F.col("cells")).cast("int"))
+    # to its own cell as a member, to the later ones of its shard as a query
+    dealt = dealt.withColumn("cell", F.explode(F.sequence("own", F.col("cells") - 1)))
+    dealt = dealt.select("band", "k", "cell", (F.col("own") != F.col("cell")).alias("query"), "id", "fp", "shingles")
+    key = ["band", "k", "cell"]
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartition(n, *key).sortWithinPartitions(*key, "query", "id")
+    pairs = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    mask = (1 << 64) - 1
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, copies, out = None, None, []
+        for batch in batches:
+            for *place, query, row, fp, raw in rows_of(batch, *key, "query", "id", "fp", "shingles"):
+                if place != now:
+                    now, copies = place, Copies(radius, similarity)
+                out += copies.add(row, fp & mask, np.frombuffer(raw, np.uint64), query)
+            if out:
+                yield record(pairs, [list(c) for c in zip(*out)])
+                out = []
+
+    return map_arrow(dealt, "a long, b long", search)
+
+
+def keep_one(docs: DataFrame, radius: int = COPY_RADIUS, similarity: float = COPY_SIMILARITY, cell: int = COPY_CELL) -> DataFrame:
+    """docs with one row of each group of near copies: that with the smallest doc_id, of rows that share it any one.
 
-    A document without doc_id stands for itself under a number made of its text.
+    Rows are told apart by a number of their own: unlinked texts stay, whatever their doc_id. A row without doc_id stays
+    only if all of its group have none.
     """
-    own = F.coalesce(F.col("doc_id").cast("long"), -F.abs(F.shiftright(F.xxhash64("text"), 1)) - 1)
-    marked = docs.withColumn("_own", own)
-    found = near_duplicates(marked.select(F.col("_own").alias("doc_id"), "text"), radius)
-    found = found.where("doc_id = component_id").select(F.col("doc_id").alias("_own")).distinct()
-    first = Window.partitionBy("_own").orderBy(F.col("text").asc_nulls_last())
-    return marked.join(found, "_own", "left_semi").withColumn("_k", F.row_number().over(first)).where("_k = 1").select(*docs.columns)
+    row, fp, bands, words, same = fresh(docs, "_row", "_fp", "_bands", "_words", "_same")
+    added = [(fp, pa.int64()), (bands, pa.list_(pa.int64())), (words, pa.int64()), (same, pa.binary())]
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import hashlib
+
+        for batch in batches:
+            out: list[list] = [[], [], [], []]
+            for text in batch.column(batch.schema.get_field_index("text")).to_pylist():
+                hashes = shingle_hashes(text, COPY_SHINGLE)
+                said = b" ".join(text.encode("utf-8", "surrogatepass").lower().split()) if text else b""
+                fpv = np.array([majority(hashes)], np.uint64).view(np.int64)[0]
+                for column, value in zip(out, (fpv, band_keys(hashes), len(hashes), hashlib.blake2b(said, digest_size=16).digest())):
+                    column.append(value)
+            columns = [*batch.columns, *(pa.array(c, kind) for c, (_, kind) in zip(out, added))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *(name for name, _ in added)])
+
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    more = [(fp, "bigint"), (bands, "array<bigint>"), (words, "bigint"), (same, "binary")]
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in numbered.schema) + "".join(f", `{n}` {t}" for n, t in more)
+    # written with its numbers, so that they mean the same rows from here on
+    marked = written(map_arrow(numbered, types, mark), "marked")
+    doc = F.col("doc_id").cast("long")
+    rank = F.struct(doc.isNull().alias("none"), doc.alias("doc"), F.col(row).alias("row"))
+    reps = marked.groupBy(same).agg(F.min(rank).alias("r"), F.first(fp).alias("fp"), F.first(bands).alias("bands"), F.first(words).alias("n_shingles"))
+    reps = written(reps.select(F.col("r.row").alias("id"), "r", "fp", "bands", "n_shingles"), "texts")
+    texts = marked.select(F.col(row).alias("id"), F.col("text").cast("string").alias("text")).join(reps.drop("r"), "id")
+    roots = written(components(copy_links(texts.where("n_shingles > 0"), radius, similarity, cell)), "roots")
+    linked = reps.select("id", "r").join(roots, F.col("id") == F.col("node")).groupBy("root").agg(F.min("r").alias("r"))
+    alone = reps.select("id").join(roots.select(F.col("node").alias("id")), "id", "left_anti")
+    kept = alone.unionByName(linked.select(F.col("r.row").alias("id"))).select(F.col("id").alias(row))
+    return marked.join(kept, row, "left_semi").select(*docs.columns)

@@ -2,7 +2,7 @@
 
 A data set is a folder in the shared store. Every part holds one range of doc_id in ascending order:
 
-* ``NAME.bin`` - token ids of all its documents in a row, 16 bits if the vocabulary fits, else 32;
+* ``NAME.bin`` - token ids of all its documents in a row, of 16 or 32 bits (ids that do not fit are an error);
 * ``NAME.off`` - 64-bit offsets (in ids, from the part's first id) of its documents, and the part's end;
 * ``NAME.doc`` - 64-bit doc_ids in the same order.
 
@@ -88,9 +88,12 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, folder: str
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     dtype = {16: "<u2", 32: "<u4"}[id_bits]
+    if max(end_id, *tokenization.load(vocabulary).get_vocab().values()) >> id_bits:
+        raise ValueError(f"{vocabulary} has ids of over {id_bits} bits")
     ordered = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        .repartitionByRange(n, F.col("doc_id").asc_nulls_first())
+        # by a text's beginning too, so that rows that share a doc_id, or have none, are many parts
+        .repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.substring(F.coalesce("text", F.lit("")), 1, 64))
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.coalesce("text", F.lit("")))
     )
     end = np.array([end_id], dtype).tobytes()
