@@ -328,14 +328,16 @@ class Copies:
         return [(row, other) for _, other in found]
 
 
-def copy_links(texts: DataFrame, radius: int, similarity: float, cell: int = COPY_CELL, cell_bytes: int = COPY_BYTES) -> DataFrame:
-    """Links (a, b) that join all components of texts (id, text, fp, bands, n_shingles)."""
-    spark = texts.sparkSession
-    members = texts.select("id", "fp", "n_shingles", F.posexplode("bands").alias("band", "k"))
+def copy_links(marks: DataFrame, texts: DataFrame, radius: int, similarity: float, cell: int = COPY_CELL, cell_bytes: int = COPY_BYTES) -> DataFrame:
+    """Links (a, b) that join all components of marks (id, fp, bands, n_shingles); texts: id, text of these and others."""
+    spark = marks.sparkSession
+    members = marks.select("id", "fp", "n_shingles", F.posexplode("bands").alias("band", "k"))
     sizes = members.groupBy("band", "k").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("words")).where("n > 1")
     cells = F.greatest(F.ceil(F.col("n") / cell), F.ceil(F.col("words") * 8 / cell_bytes)).cast("int")
     shared = members.join(sizes, ["band", "k"]).select("id", "fp", "band", "k", cells.alias("cells"))
     shared = shared.groupBy("id", "fp").agg(F.collect_list(F.struct("band", "k", "cells")).alias("at"))  # BANDS at most
+    # written, so that Spark knows its size and sends a small one to the texts instead of shuffling these
+    shared = written(shared, "shared")
     schema = pa.schema([("id", pa.int64()), ("shingles", pa.binary())])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -404,9 +406,9 @@ def keep_one(docs: DataFrame, radius: int = COPY_RADIUS, similarity: float = COP
     rank = F.struct(doc.isNull().alias("none"), doc.alias("doc"), F.col(row).alias("row"))
     reps = marked.groupBy(same).agg(F.min(rank).alias("r"), F.first(fp).alias("fp"), F.first(bands).alias("bands"), F.first(words).alias("n_shingles"))
     reps = written(reps.select(F.col("r.row").alias("id"), "r", "fp", "bands", "n_shingles"), "texts")
-    texts = marked.select(F.col(row).alias("id"), F.col("text").cast("string").alias("text")).join(reps.drop("r"), "id")
-    roots = written(components(copy_links(texts.where("n_shingles > 0"), radius, similarity, cell)), "roots")
+    texts = marked.select(F.col(row).alias("id"), F.col("text").cast("string").alias("text"))
+    roots = written(components(copy_links(reps.where("n_shingles > 0"), texts, radius, similarity, cell)), "roots")
     linked = reps.select("id", "r").join(roots, F.col("id") == F.col("node")).groupBy("root").agg(F.min("r").alias("r"))
     alone = reps.select("id").join(roots.select(F.col("node").alias("id")), "id", "left_anti")
     kept = alone.unionByName(linked.select(F.col("r.row").alias("id"))).select(F.col("id").alias(row))
-    return marked.join(kept, row, "left_semi").select(*docs.columns)
+    return marked.join(written(kept, "kept"), row, "left_semi").select(*docs.columns)
