@@ -163,9 +163,9 @@ def errors(aligned: DataFrame, keys: list[str], ref: str = "ref", hyp: str = "hy
 
 
 def top_errors(found: DataFrame, keys: list[str], k: int = V.TOP) -> DataFrame:
-    """The k most frequent chunks of each kind; of equally frequent ones those that came first."""
+    """The k most frequent chunks of each kind; of equally frequent ones those that came first, then by their texts."""
     counted = found.groupBy(*keys, "op", "ref_text", "hyp_text").agg(F.count("*").alias("cnt"), F.min(F.struct("rs", "hs")).alias("first"))
-    by = Window.partitionBy(*keys, "op").orderBy(F.desc("cnt"), "first")
+    by = Window.partitionBy(*keys, "op").orderBy(F.desc("cnt"), "first", "ref_text", "hyp_text")
     return counted.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).drop("first")
 
 
