@@ -9,6 +9,7 @@ from voxframe.functions import fixed_values as V
 from voxframe.functions import text as T
 from voxframe.operators import folds, vad
 from voxframe.operators import segments as G
+from voxframe.plans import fold_sql
 from voxframe.plans.inputs import ACTIVITY, SEGMENTS, activity, norm_sql, segments, tokens_sql
 
 LO, HI = 5.0, 13.25
@@ -315,3 +316,4 @@ f(recording, k, before, out) AS (
         SELECT o.recording, o.k, f.before, o.led, o.lw, {_keyed('o.lw')} AS ck, {_keyed(r"list_filter(string_split(trim(regexp_replace(f.before, '\s+', ' ', 'g')), ' '), lambda w: w <> '')")} AS pk FROM f JOIN o ON o.recording = f.recording AND o.k = f.k + 1))))
 SELECT o.recording, o.seq, o.id, o.speaker, o.start, o."end", f.out AS text FROM o JOIN f USING (recording, k) WHERE f.out <> ''""",
 }
+ORACLE_SQL |= fold_sql.ORACLE_SQL
