@@ -54,6 +54,12 @@ CONTINUATION_WORDS = 4
 DEDUP_SECONDS = 1.5
 CHANNEL_DEDUP_SECONDS = 1.0
 PACK_GAP_SECONDS = 0.1
+PACKED_CHUNK_SECONDS = 360.0
+PLAIN_CHUNK_SECONDS = 60.0
+CHUNK_OVERLAP_SECONDS = 2.0
+CHUNK_BACKSHIFT_SECONDS = 1.0
 VAD = {"min_dur": 0.25, "max_dur": 20.0, "max_silence": 1.0, "threshold": 45.0}
 TOP = 20
 EVAL_ROLES = ("interviewer", "interviewee")
+# How a sequence-to-sequence recogniser is asked to decode.
+DECODING = {"language": "cs", "verbose": False, "condition_on_previous_text": False, "no_speech_threshold": 0.25, "temperature": 0.0, "beam_size": 5}

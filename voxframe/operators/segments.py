@@ -234,6 +234,18 @@ def to_original(offsets: DataFrame, parts: DataFrame, keys: list[str]) -> DataFr
     return rows.select(*keys, "id", "offset", F.when(F.col("_at").isNotNull(), inside).when(F.col("_first").isNotNull(), F.col("_first._p.os")).otherwise(F.col("offset")).alias("original"))
 
 
+def packed_to_absolute(segments: DataFrame, parts: DataFrame, keys: list[str]) -> DataFrame:
+    """segments (keys, id, start, end within a chunk of packed audio, chunk_start, chunk_end, base, ...) with their times on
+    the recording's line: clamped to the chunk, put back where the parts came from, moved by ``base``, the place of the
+    audio in its recording. What is empty in the chunk goes. ids are unique within keys."""
+    inside = lambda c: F.col("chunk_start") + F.greatest(F.lit(0.0), F.least(F.col(c), F.col("chunk_end") - F.col("chunk_start")))
+    rows = segments.withColumn("_a", inside("start")).withColumn("_b", inside("end")).where("_b > _a")
+    edges = rows.select(*keys, F.col("id").alias("_id"), F.explode(F.array("_a", "_b")).alias("offset")).select(*keys, F.struct("_id", "offset").alias("id"), "offset")
+    placed = to_original(edges, parts, keys).groupBy(*keys, F.col("id._id").alias("id")).agg(F.min_by("original", "offset").alias("_s"), F.max_by("original", "offset").alias("_e"))
+    out = rows.drop("_a", "_b", "start", "end").join(placed, [*keys, "id"])
+    return out.withColumn("start", F.col("base") + F.col("_s")).withColumn("end", F.col("base") + F.col("_e")).drop("_s", "_e")
+
+
 def fixed_chunks(recordings: DataFrame, keys: list[str], seconds: float = 360.0) -> DataFrame:
     """recordings (keys, duration) cut at multiples of ``seconds``."""
     steps = F.sequence(F.lit(0), F.greatest(F.ceil(F.col("duration") / seconds).cast("int") - 1, F.lit(0)))

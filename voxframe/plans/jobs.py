@@ -5,12 +5,18 @@ Any number of files goes through one plan. Results are DataFrames of texts (JSON
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from voxframe.functions import fixed_values as V
 from voxframe.functions import text as T
 from voxframe.operators import evaluation as E
-from voxframe.operators import folds, signal
+from voxframe.operators import folds, recognition, signal
 from voxframe.operators import segments as G
 from voxframe.plans import reports
 from voxframe.plans.storage import kept
@@ -210,6 +216,49 @@ def assemble_hypotheses(segments: DataFrame, metadata: DataFrame, split: bool) -
     return hypotheses.hypothesis_json(G.enrich(merged, ["recording"], split), metadata, ["recording"])
 
 
+def recognise(
+    spark: SparkSession, paths: str | list[str], load: Callable, model: str, backend: str, split: bool = True, packed: bool = True,
+    start: float | None = None, end: float | None = None, chunk_seconds: float | None = None, options: dict | None = None,
+) -> DataFrame:
+    """WAV files to recogniser output: recording, file (its name, without suffix), value (JSON).
+
+    load() gives the model, once per task. split: two channels, Speaker_L and Speaker_R, without what both heard; else the
+    mean of all. packed: chunks of speech without its pauses and a model that gives segments; else chunks of speech windows
+    and a model that gives texts. The metadata hold when the run began and ended and how long it took, measured around the
+    recognition. Recordings in which nothing was said have no segments and empty texts.
+    """
+    lo, hi = G.check_window(start, end)
+    began, clock = datetime.now(timezone.utc), time.perf_counter()
+    loaded = audio.load(transcripts.read_files(spark, paths), "stereo" if split else "mean", lo, hi)
+    sound = kept(recognition.channels(loaded, {"Speaker_L": "left", "Speaker_R": "right"} if split else {"unknown": "samples"}))
+    seconds = chunk_seconds or (V.PACKED_CHUNK_SECONDS if packed else V.PLAIN_CHUNK_SECONDS)
+    if packed:
+        said = recognition.by_packed_speech(sound, load, seconds, V.DECODING if options is None else options)
+        said = said.withColumn("text", T.clean_segment(F.col("text"))).where(F.col("text") != "").where(~T.is_hallucination(F.col("text")))
+        said = folds.postprocess(said, recognition.KEYS)
+    else:
+        said = recognition.by_chunks(sound, load, seconds, options=options)
+    said = kept(said)
+    merged = kept(G.enrich(folds.cross_channel(said) if split else said, ["recording"], split))
+    took, ended = round(time.perf_counter() - clock, 2), datetime.now(timezone.utc)
+    fields = {
+        "mode": "INDIVIDUAL_SPLIT" if split else "MIX", "start_seconds": lo, "end_seconds": hi, "has_custom_range": lo is not None or hi is not None,
+        "model": model, "backend": backend, "chunk_seconds": seconds, "chunk_overlap_seconds": V.CHUNK_OVERLAP_SECONDS if packed else None,
+        "chunk_backshift_seconds": None if packed else V.CHUNK_BACKSHIFT_SECONDS, "dedup_time_tolerance": V.CHANNEL_DEDUP_SECONDS,
+        "adjacent_merge_gap_seconds": V.MERGE_GAP_SECONDS if packed else None, "vad_min_dur": V.VAD["min_dur"], "vad_max_dur": V.VAD["max_dur"],
+        "vad_max_silence": V.VAD["max_silence"], "vad_energy_threshold": V.VAD["threshold"], "runtime_seconds": took,
+        "run_started_utc": began.isoformat(), "run_finished_utc": ended.isoformat(),
+    }
+    kinds = {f.name: f.dataType for f in StructType.fromDDL(f"m {hypotheses.METADATA}")["m"].dataType}
+    metadata = F.struct(*[F.lit(v).cast(kinds[k]).alias(k) for k, v in fields.items()])
+    recordings = sound.select("recording").distinct().withColumn("metadata", metadata)
+    spoken = said.groupBy("recording").agg(*[F.expr(f"listagg(text, ' ') WITHIN GROUP (ORDER BY start, end, seq) FILTER (WHERE speaker = '{s}')").alias(s) for s in ("Speaker_L", "Speaker_R")])
+    extra = {"Speaker_L_full_transcription": "Speaker_L", "speaker_R_full_transcription": "Speaker_R"} if split else {}
+    values = hypotheses.hypothesis_json(merged, recordings, ["recording"], spoken if split else None, extra)
+    scope = "full" if lo is None and hi is None else "range"
+    return values.select("recording", F.concat("recording", F.lit(f"_{scope}_{backend}")).alias("file"), "value")
+
+
 def process_audio(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame]:
     """(WAV files of left, right and mix; figures and report) of stereo recordings, levelled."""
     loaded = audio.load(transcripts.read_files(spark, paths), "stereo")

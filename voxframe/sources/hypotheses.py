@@ -99,9 +99,15 @@ def pretty_json(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.select(F.to_json(F.struct(*columns), {"pretty": "true", "ignoreNullFields": "false"}).alias("value"))
 
 
-def hypothesis_json(segments: DataFrame, metadata: DataFrame, keys: list[str]) -> DataFrame:
-    """One JSON text per recording: metadata, segments in order, full transcription."""
+def hypothesis_json(segments: DataFrame, metadata: DataFrame, keys: list[str], spoken: DataFrame | None = None, extra: dict[str, str] | None = None) -> DataFrame:
+    """One JSON text per recording of ``metadata``: metadata, segments in order, texts of ``spoken`` (extra: their names and
+    columns; what isn't there is empty), full transcription."""
     fields = [c for c in segments.columns if c not in keys]
     grouped = segments.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "end", F.struct(*fields).alias("s")))).alias("r"))
-    rows = grouped.join(metadata, keys).select(*keys, "metadata", F.transform("r", lambda x: x["s"]).alias("segments"), F.array_join(F.transform("r", lambda x: x["s"]["text"]), " ").alias("full_transcription"))
-    return rows.select(*keys, F.to_json(F.struct("metadata", "segments", "full_transcription"), {"pretty": "true", "ignoreNullFields": "false"}).alias("value"))
+    kind = segments.select(F.array(F.struct(*fields)).alias("r")).schema["r"].dataType
+    rows = metadata.join(grouped, keys, "left").withColumn("r", F.coalesce(F.transform("r", lambda x: x["s"]), F.array().cast(kind)))
+    if spoken is not None:
+        rows = rows.join(spoken, keys, "left")
+    own = [F.coalesce(F.col(c), F.lit("")).alias(name) for name, c in (extra or {}).items()]
+    rows = rows.select(*keys, F.struct("metadata", F.col("r").alias("segments"), *own, F.array_join("r.text", " ").alias("full_transcription")).alias("v"))
+    return rows.select(*keys, F.to_json("v", {"pretty": "true", "ignoreNullFields": "false"}).alias("value"))
