@@ -40,10 +40,12 @@ def _hypothesis_texts(files: DataFrame) -> DataFrame:
 def _reference_texts(sections: DataFrame, truth: DataFrame) -> DataFrame:
     """sections (name, recording, path, is_full, lo, hi) with ref and its source."""
     keys = ["name", "path"]
-    rows = truth.withColumnRenamed("recording", "_key").join(sections.select(*keys, "recording", "is_full", "lo", "hi"), "path")
-    here = F.max(F.when(F.col("_key") == F.col("recording"), 1).otherwise(0))
-    keyed = rows.groupBy(*keys).agg(here.alias("_has"))
-    rows = rows.join(keyed, keys).where((F.col("_has") == 0) | (F.col("_key") == F.col("recording")))
+    # a recording's own segments by path and recording; whole files only where they don't name it
+    known = truth.select("path", "recording").distinct().withColumn("_has", F.lit(True))
+    wanted = sections.select(*keys, "recording", "is_full", "lo", "hi").join(known, ["path", "recording"], "left")
+    own = truth.join(wanted.where("_has").drop("_has"), ["path", "recording"])
+    others = truth.drop("recording").join(wanted.where("_has is null").drop("_has"), "path")
+    rows = own.unionByName(others)
     exact = F.col("id") == F.concat(F.lit("full_"), F.col("recording"), F.lit("_transcript"))
     full = rows.where(F.col("is_full") & G.is_full_transcript(F.col("id"))).groupBy(*keys).agg(F.min_by(F.struct(T.clean_text(F.col("text")).alias("text"), "id"), F.struct(~exact, F.col("seq"))).alias("_full"))
     parts = rows.where(F.col("is_full") | ~G.is_full_transcript(F.col("id")))

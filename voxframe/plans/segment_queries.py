@@ -135,6 +135,15 @@ def packed_to_original(spark: SparkSession, d: str) -> DataFrame:
     return G.to_original(offsets, G.packed_map(_parts(spark, d), ["recording"]), ["recording"])
 
 
+def packed_to_absolute(spark: SparkSession, d: str) -> DataFrame:
+    """Segments of chunks of packed audio, some beyond their chunk, on the recording's line."""
+    time = F.col("time")
+    start = F.pmod(time, F.lit(50.0)) / 2.0 - 3.0
+    said = activity(spark, d).select("recording", time.cast("long").alias("id"), start.alias("start"), (start + F.pmod(time, F.lit(7.0)) - 1.0).alias("end"),
+                                     (F.floor(time / 60) * 20.0).alias("chunk_start"), (F.floor(time / 60) * 20.0 + 15.0).alias("chunk_end"), F.lit(100.0).alias("base"))
+    return G.packed_to_absolute(said, G.packed_map(_parts(spark, d), ["recording"]), ["recording"]).select("recording", "id", "start", "end")
+
+
 def vad_chunks(spark: SparkSession, d: str) -> DataFrame:
     return folds.pack_windows(_windows(spark, d).withColumn("duration", F.lit(1300.0)), ["recording"], 60.0)
 
@@ -208,7 +217,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         window_filter, clip_by_ratio, window_text, recording_filter, full_reference, eval_reference, full_transcript, speaker_summary, exact_dedup, formal_segments, default_duration, part_offsets, make_segments, enriched,
-        vad_windows, vad_parts, packed_part_map, packed_to_original, vad_chunks, fixed_chunks, to_absolute, dedup_segments, merge_overlaps, merge_adjacent, strip_boundaries, boundary_trim, postprocess, cross_channel_dedup, region_times,
+        vad_windows, vad_parts, packed_part_map, packed_to_original, packed_to_absolute, vad_chunks, fixed_chunks, to_absolute, dedup_segments, merge_overlaps, merge_adjacent, strip_boundaries, boundary_trim, postprocess, cross_channel_dedup, region_times,
     )
 }
 
@@ -269,6 +278,12 @@ SELECT recording, seq, format('seg_{{:05d}}', seq) AS id, speakers, piece * {_D(
 h AS (SELECT o.*, (SELECT min({{'i': idx, 'v': least(original_end, greatest(original_start, original_start + t - packed_start))}}) FROM pm WHERE pm.recording = o.recording AND t BETWEEN packed_start AND packed_end) AS hit,
   (SELECT arg_max(original_end, idx) FROM pm WHERE pm.recording = o.recording AND packed_end < t) AS past, (SELECT arg_min(original_start, idx) FROM pm WHERE pm.recording = o.recording) AS head FROM o)
 SELECT recording, id, "offset", coalesce(hit.v, past, head, "offset") AS original FROM h""",
+    "packed_to_absolute": f"""WITH {_PARTS}, q AS (SELECT recording, CAST("time" AS BIGINT) AS id, "time" % 50 / {_D(2.0)} - {_D(3.0)} AS a, "time" % 50 / {_D(2.0)} - {_D(3.0)} + "time" % 7 - {_D(1.0)} AS b, floor("time" / 60) * {_D(20.0)} AS c FROM activity),
+e AS (SELECT recording, id, c + greatest({_D(0)}, least(a, c + {_D(15.0)} - c)) AS a, c + greatest({_D(0)}, least(b, c + {_D(15.0)} - c)) AS b FROM q),
+o AS (SELECT recording, id, edge, t FROM (SELECT recording, id, unnest([0, 1]) AS edge, unnest([a, b]) AS t FROM e WHERE b > a)),
+h AS (SELECT o.*, (SELECT min({{'i': idx, 'v': least(original_end, greatest(original_start, original_start + t - packed_start))}}) FROM pm WHERE pm.recording = o.recording AND t BETWEEN packed_start AND packed_end) AS hit,
+  (SELECT arg_max(original_end, idx) FROM pm WHERE pm.recording = o.recording AND packed_end < t) AS past, (SELECT arg_min(original_start, idx) FROM pm WHERE pm.recording = o.recording) AS head FROM o)
+SELECT recording, id, {_D(100.0)} + max(coalesce(hit.v, past, head, t)) FILTER (edge = 0) AS start, {_D(100.0)} + max(coalesce(hit.v, past, head, t)) FILTER (edge = 1) AS "end" FROM h GROUP BY recording, id""",
     "fixed_chunks": f"""WITH {ACTIVITY}, s AS (SELECT recording, max("time") AS duration FROM activity GROUP BY recording),
 c AS (SELECT recording, duration, unnest(range(0, greatest(CAST(ceil(duration / {_D(360.0)}) AS INTEGER), 1))) AS k FROM s WHERE duration > 0)
 SELECT recording, k * {_D(360.0)} AS start, least(duration, (k + 1) * {_D(360.0)}) AS "end", CAST(k + 1 AS INTEGER) AS chunk, CASE WHEN k > 0 THEN greatest({_D(0.0)}, k * {_D(360.0)} - {_D(1.0)}) ELSE k * {_D(360.0)} END AS decode_start FROM c""",

@@ -207,7 +207,8 @@ def arpa_unigrams(files: DataFrame) -> DataFrame:
 def ground_truth_sources(files: DataFrame, recordings: DataFrame) -> DataFrame:
     """recordings (recording) with the ground truths there are: their own file first, then the common formal one."""
     own = recordings.join(files, F.col("name") == F.concat("recording", F.lit("_gt_segments"))).select("recording", "path", F.lit(0).alias("priority"))
-    common = recordings.join(files.where("name = 'all_formal_gt_segments'"), F.lit(True)).select("recording", "path", F.lit(1).alias("priority"))
+    shared = files.where("name = 'all_formal_gt_segments'").agg(F.sort_array(F.collect_set("path")).alias("p")).scalar()
+    common = recordings.select("recording", F.explode(shared).alias("path"), F.lit(1).alias("priority"))
     return own.unionByName(common)
 
 
