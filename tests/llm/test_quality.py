@@ -74,3 +74,42 @@ def test_query_follows_the_labels(spark, small):
     assert sum(r.kept for r in good) >= 0.98 * len(good) and sum(r.kept for r in bad) <= 0.2 * len(bad)
     for r in spark.read.parquet(f"{small}/documents.parquet").collect()[:60]:
         assert tuple(out[r.doc_id])[1:6] == brute_counts(r.text)
+
+
+def test_every_label_counts(spark, documents):
+    """More labels than any sample would hold: target and threshold equal those made in plain Python of all labelled documents."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    r = random.Random(6)
+    n = 25_000
+    bag = [f"w{k}" for k in range(40)]
+    texts = {i: " ".join(r.choices(bag, weights=range(1, 41) if i % 7 else range(40, 0, -1), k=55)) for i in range(n)}
+    docs = spark.createDataFrame([(i, t) for i, t in texts.items()] + [(None, texts[1]), (n, None)], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, int(i % 7 > 0), 0) for i in range(n)], "doc_id long, quality int, toxic int")
+    half = {x.id: x.h for x in spark.range(n).select("id", F.xxhash64("id").bitwiseAND(F.lit(1)).alias("h")).collect()}
+    raw, target = np.zeros(Q.BUCKETS), np.zeros(Q.BUCKETS)
+    for i, t in [*texts.items(), (None, texts[1])]:
+        got = Q.buckets(t.encode().split())
+        np.add.at(raw, got, 1)
+        if i is not None and i % 7 and not half[i]:
+            np.add.at(target, got, 1)
+    p = (raw + 0.5) / (raw.sum() + 0.5 * len(raw))
+    q = (target + Q.PRIOR * len(p) * p) / (target.sum() + Q.PRIOR * len(p))
+    plain = Q.Model(np.log(q) - np.log(p), None)
+    held = {k: [plain.score(t.encode().split()) for i, t in texts.items() if half[i] and (i % 7 > 0) == k and not Q.verdict(i, t, plain)[6]] for k in (True, False)}
+    for bits in (Q.SIEVE_BITS, 128):  # a bitmap that lets all through changes nothing
+        model = Q.fit(docs, labels, bits=bits)
+        assert np.array_equal(model.ratio, plain.ratio)
+        assert model.threshold == Q.cut_at(held[True], held[False], Q.MAX_LOSS)
+
+
+def test_cut_of_many_scores(spark):
+    r = random.Random(8)
+    for n, loss in ((1, 0.0), (7, 0.5), (3000, 0.01), (3000, 0.3)):
+        good = [r.choice([r.gauss(1, 1), 0.25]) for _ in range(n)]
+        bad = [r.gauss(0, 1) for _ in range(n)]
+        scored = spark.createDataFrame([(1, x) for x in good] + [(0, x) for x in bad], "kind int, score double")
+        assert Q.cut_of(scored, loss) == Q.cut_at(good, bad, loss)
+        assert Q.nth_least(scored.where("kind = 1"), n // 2, bins=3) == sorted(good)[n // 2]
+    assert Q.cut_of(scored.where("kind = 0"), 0.1) is None and Q.cut_of(scored.where("kind = 1"), 0.1) is None
