@@ -147,3 +147,34 @@ def test_query_equals_brute_force(spark, small):
     want = brute_components(docs)
     got = op1_simhash(spark, small).collect()
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in got} == {d: (f"{docs[d]:016x}", want[d]) for d in docs}
+
+
+def test_keep_one_leaves_unlinked_texts_in_place(documents, spark):
+    """Texts that no other one is like are not shuffled, however Spark would join them."""
+    from pathlib import Path
+
+    r = random.Random(3)
+    texts = [" ".join(f"{r.getrandbits(48):x}" for _ in range(1500)) for _ in range(200)]
+    rows = [*enumerate(texts), (900, texts[0]), (901, texts[1] + " more"), (902, "x " + texts[1])]
+    folders = [str(f) for f in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    shuffled = lambda: sum(f.stat().st_size for d in folders for f in Path(d).rglob("shuffle_*.data"))
+    frame, before = documents(rows), shuffled()
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(x.doc_id for x in simhash.keep_one(frame).collect()) == list(range(200))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert shuffled() - before < 0.25 * sum(map(len, texts))
+
+
+def test_copy_links_of_equal_bands(spark):
+    """Bands shared by the same texts are searched once, those shared by others as well: no link is lost."""
+    words = [f"w{i}" for i in range(100)]
+    texts = {1: words, 2: [*words, "a"], 3: ["b", *words], 4: [f"v{i}" for i in range(100)], 5: [f"v{i}" for i in range(101)]}
+    texts = {i: " ".join(w) for i, w in texts.items()}
+    bands = {1: [7, 7, 5], 2: [7, 7, 6], 3: [1, 2, 5], 4: [7, 3, 3], 5: [8, 3, 3]}
+    signed = lambda x: x - (x >> 63 << 64)
+    marks = spark.createDataFrame([(i, signed(simhash.fingerprint(t, 5)), bands[i], 97) for i, t in texts.items()], "id long, fp long, bands array<long>, n_shingles long")
+    links = {tuple(sorted(x)) for x in simhash.copy_links(marks, spark.createDataFrame(list(texts.items()), "id long, text string"), 24, 0.8).collect()}
+    assert links == {(1, 2), (1, 3), (4, 5)}

@@ -6,11 +6,15 @@ import atexit
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows per Arrow batch. Texts are long, so a batch of the default 10,000 rows could fill a worker's memory.
 BATCH_ROWS = 512
+#: Bits of a bitmap that keeps texts out of joins (4 MB), whatever the number of ids.
+SIEVE_BITS = 1 << 25
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +66,18 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_HELD: dict = {}
+
+
+def held(key, make: Callable):
+    """What a Python worker keeps between tasks, made when it is first asked for. Workers go from one operator's tasks to
+    another's: of these memos one is held at a time, so that they do not add up."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def rows_of(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
     """Python rows of the named columns, a batch at a time."""
     return zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names))
@@ -86,3 +102,33 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def bit_of(key: str, bits: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(bits))
+
+
+def sieve(ids: DataFrame, bits: int = SIEVE_BITS) -> np.ndarray:
+    """A bitmap of the hashes of ids (one column), in 64-bit words: bits / 64 rows at most are collected."""
+    words = ids.select(bit_of(ids.columns[0], bits).alias("bit")).select(F.shiftright("bit", 6).alias("word"), F.expr("shiftleft(1L, cast(bit & 63 as int))").alias("mask"))
+    rows = words.groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    out = np.zeros(-(-bits // 64), np.uint64)
+    out[rows["word"].to_numpy()] = rows["mask"].to_numpy().view(np.uint64)
+    return out
+
+
+def passed(bitmap: np.ndarray, bit: pa.Array) -> np.ndarray:
+    at = bit.to_numpy(zero_copy_only=False).astype(np.int64)
+    return (bitmap[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
+
+def sifted(df: DataFrame, key: str, bitmap, bits: int = SIEVE_BITS, inside: bool = True) -> DataFrame:
+    """Rows of df that a broadcast sieve lets through: all that have one of its ids, and some others. Or the rest."""
+    (bit,) = fresh(df, "_bit")
+    last = len(df.columns)
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(passed(bitmap.value, batch.column(last)) == inside)).select(range(last))
+
+    return map_arrow(df.withColumn(bit, bit_of(key, bits)), df.schema, sift)

@@ -31,14 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import map_arrow, record, rows_of, written
+from ._common import SIEVE_BITS, bit_of, held, map_arrow, passed, record, rows_of, sieve, sifted, written
 
 #: Buckets of n-gram hashes: a fixed size, whatever the corpus.
 BUCKETS = 1 << 16
 #: Share of trusted documents that the threshold may cost.
 MAX_LOSS = 0.002
-#: Bits of the bitmap of labelled ids (4 MB), and bins of a pass over the scores.
-SIEVE_BITS, BINS = 1 << 25, 4096
+#: Bins of a pass over the scores.
+BINS = 4096
 #: Pseudo-counts per bucket.
 PRIOR = 5.0
 MIN_WORDS = 50
@@ -78,14 +78,11 @@ def shape(word: bytes) -> bytes:
     return mark + bare.lower()
 
 
-_HASHER = _Hasher()
-
-
 def buckets(words: list[bytes], n: int = BUCKETS) -> np.ndarray:
     """Bucket numbers of a text's words and word pairs."""
     if not words:
         return np.zeros(0, np.int64)
-    h = _HASHER(words)
+    h = held("quality", _Hasher)(words)
     with np.errstate(over="ignore"):
         pairs = (h[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ h[1:]) * np.uint64(0xC2B2AE3D27D4EB4F)
     return np.concatenate([h >> np.uint64(40), pairs >> np.uint64(40)]).astype(np.int64) % n
@@ -131,24 +128,6 @@ def labelled(labels: DataFrame) -> DataFrame:
     return own.select("id", kind.alias("kind"), F.xxhash64("id").bitwiseAND(F.lit(1)).cast("int").alias("half")).where("kind is not null")
 
 
-def _bit(column: str, bits: int):
-    return F.pmod(F.xxhash64(column), F.lit(bits))
-
-
-def sieve(ids: DataFrame, bits: int = SIEVE_BITS) -> np.ndarray:
-    """A bitmap of the ids' hashes, in 64-bit words: bits / 64 rows at most are collected."""
-    words = ids.select(_bit("id", bits).alias("bit")).select(F.shiftright("bit", 6).alias("word"), F.expr("shiftleft(1L, cast(bit & 63 as int))").alias("mask"))
-    rows = words.groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
-    out = np.zeros(-(-bits // 64), np.uint64)
-    out[rows["word"].to_numpy()] = rows["mask"].to_numpy().view(np.uint64)
-    return out
-
-
-def _passed(bitmap: np.ndarray, bit: pa.Array) -> np.ndarray:
-    at = bit.to_numpy(zero_copy_only=False).astype(np.int64)
-    return (bitmap[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
-
-
 class Model:
     """A bucket's log ratio, and the threshold (None: base rules alone)."""
 
@@ -216,13 +195,7 @@ def _counts(docs: DataFrame, n: int) -> np.ndarray:
 def _texts_of(docs: DataFrame, ids: DataFrame, bits: int) -> DataFrame:
     """The rows of docs (doc_id, text) that have one of the ids. Of the others few are shuffled, if any."""
     shared = docs.sparkSession.sparkContext.broadcast(sieve(ids, bits))
-
-    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(_passed(shared.value, batch.column(2)))).select([0, 1])
-
-    near = docs.where("doc_id is not null").select("doc_id", "text", _bit("doc_id", bits).alias("bit"))
-    return map_arrow(near, "doc_id long, text string", sift).join(ids, F.col("doc_id") == F.col("id"), "left_semi")
+    return sifted(docs.where("doc_id is not null"), "doc_id", shared, bits).join(ids, F.col("doc_id") == F.col("id"), "left_semi")
 
 
 def _scores_of(docs: DataFrame, ids: DataFrame, model: Model, bits: int) -> DataFrame:
@@ -233,11 +206,11 @@ def _scores_of(docs: DataFrame, ids: DataFrame, model: Model, bits: int) -> Data
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = batch.filter(pa.array(_passed(shared.value, batch.column(2))))
+            near = batch.filter(pa.array(passed(shared.value, batch.column(2))))
             got = [verdict(doc, text, own.value) for doc, text in rows_of(near, "doc_id", "text")]
             yield record(schema, [[v[0] for v in got if not v[6]], [v[7] for v in got if not v[6]]])
 
-    near = docs.where("doc_id is not null").select("doc_id", "text", _bit("doc_id", bits).alias("bit"))
+    near = docs.where("doc_id is not null").select("doc_id", "text", bit_of("doc_id", bits).alias("bit"))
     return map_arrow(near, "doc_id long, score double", rate).join(ids, F.col("doc_id") == F.col("id")).drop("doc_id")
 
 

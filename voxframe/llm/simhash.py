@@ -18,7 +18,10 @@ over cells come from alternating star contractions on these links, whose lineage
 Their fingerprints lie up to some 20 bits apart, too far for blocks to agree. There shards come from minimum hashes of
 the shingles (8 bands of 3; texts that are 0.8 alike share one with a probability of 0.997, more alike ones more), every
 component of a shard has its own BK-tree, searched within COPY_RADIUS bits, and what it finds is held against the true
-similarity. A text is compared with a component until the first true copy, so large groups of copies cost little.
+similarity. A text is compared with a component until the first true copy, so large groups of copies cost little. Bands
+that the very same texts share count once.
+There texts are moved only where they must be: those that share a band go to its shards, and those that a bitmap of fixed
+size cannot tell from dropped rows are joined with these. All others are read, judged and written where they are.
 
 Defined results: null or wordless texts have fingerprint zero and are linked like any other; texts shorter than a shingle
 count whole; repeated rows stay and share a component; a null doc_id takes part, but never names a component unless all
@@ -35,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import fresh, map_arrow, record, rows_of, written
+from ._common import fresh, map_arrow, record, rows_of, sieve, sifted, written
 
 RADIUS = 2
 SHINGLE = 3
@@ -332,28 +335,21 @@ def copy_links(marks: DataFrame, texts: DataFrame, radius: int, similarity: floa
     """Links (a, b) that join all components of marks (id, fp, bands, n_shingles); texts: id, text of these and others."""
     spark = marks.sparkSession
     members = marks.select("id", "fp", "n_shingles", F.posexplode("bands").alias("band", "k"))
-    sizes = members.groupBy("band", "k").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("words")).where("n > 1")
+    same = [F.bit_xor(F.xxhash64(F.lit(seed), "id")).alias(name) for seed, name in ((1, "x"), (2, "y"))]
+    sizes = members.groupBy("band", "k").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("words"), *same).where("n > 1")
+    # of bands that the very same texts share, one finds their links
+    sizes = sizes.groupBy("n", "words", "x", "y").agg(F.min(F.struct("band", "k")).alias("at")).select("at.band", "at.k", "n", "words")
     cells = F.greatest(F.ceil(F.col("n") / cell), F.ceil(F.col("words") * 8 / cell_bytes)).cast("int")
-    shared = members.join(sizes, ["band", "k"]).select("id", "fp", "band", "k", cells.alias("cells"))
-    shared = shared.groupBy("id", "fp").agg(F.collect_list(F.struct("band", "k", "cells")).alias("at"))  # BANDS at most
-    # written, so that Spark knows its size and sends a small one to the texts instead of shuffling these
-    shared = written(shared, "shared")
-    schema = pa.schema([("id", pa.int64()), ("shingles", pa.binary())])
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = list(rows_of(batch, "id", "text"))
-            sets = [np.unique(shingle_hashes(t, COPY_SHINGLE)).tobytes() for _, t in rows]
-            yield record(schema, [[i for i, _ in rows], sets])
-
-    # only texts that share a band with another one are read again, and only their shingles are shuffled
-    wanted = texts.select("id", "text").join(shared.select("id"), "id", "left_semi")
-    sets = map_arrow(wanted, "id long, shingles binary", make)
-    dealt = shared.join(sets, "id").select("id", "fp", "shingles", F.inline("at"))
+    # merge joins: what is joined grows with the corpus, and so the plan is the same at all sizes
+    shared = members.select("id", "fp", "band", "k").join(sizes.hint("merge"), ["band", "k"]).select("id", "fp", "band", "k", cells.alias("cells"))
+    shared = written(shared.groupBy("id", "fp").agg(F.collect_list(F.struct("band", "k", "cells")).alias("at")), "shared")  # BANDS at most
+    # only texts that share a band with another one are moved
+    some = sifted(texts.select("id", "text"), "id", spark.sparkContext.broadcast(sieve(shared.select("id"))))
+    dealt = some.join(shared.hint("merge"), "id").select("id", "fp", "text", F.inline("at"))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), F.col("cells")).cast("int"))
     # to its own cell as a member, to the later ones of its shard as a query
     dealt = dealt.withColumn("cell", F.explode(F.sequence("own", F.col("cells") - 1)))
-    dealt = dealt.select("band", "k", "cell", (F.col("own") != F.col("cell")).alias("query"), "id", "fp", "shingles")
+    dealt = dealt.select("band", "k", "cell", (F.col("own") != F.col("cell")).alias("query"), "id", "fp", "text")
     key = ["band", "k", "cell"]
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(n, *key).sortWithinPartitions(*key, "query", "id")
@@ -363,10 +359,10 @@ def copy_links(marks: DataFrame, texts: DataFrame, radius: int, similarity: floa
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, copies, out = None, None, []
         for batch in batches:
-            for *place, query, row, fp, raw in rows_of(batch, *key, "query", "id", "fp", "shingles"):
+            for *place, query, row, fp, text in rows_of(batch, *key, "query", "id", "fp", "text"):
                 if place != now:
                     now, copies = place, Copies(radius, similarity)
-                out += copies.add(row, fp & mask, np.frombuffer(raw, np.uint64), query)
+                out += copies.add(row, fp & mask, np.unique(shingle_hashes(text, COPY_SHINGLE)), query)
             if out:
                 yield record(pairs, [list(c) for c in zip(*out)])
                 out = []
@@ -380,6 +376,7 @@ def keep_one(docs: DataFrame, radius: int = COPY_RADIUS, similarity: float = COP
     Rows are told apart by a number of their own: unlinked texts stay, whatever their doc_id. A row without doc_id stays
     only if all of its group have none.
     """
+    spark = docs.sparkSession
     row, fp, bands, words, same = fresh(docs, "_row", "_fp", "_bands", "_words", "_same")
     added = [(fp, pa.int64()), (bands, pa.list_(pa.int64())), (words, pa.int64()), (same, pa.binary())]
 
@@ -410,5 +407,9 @@ def keep_one(docs: DataFrame, radius: int = COPY_RADIUS, similarity: float = COP
     roots = written(components(copy_links(reps.where("n_shingles > 0"), texts, radius, similarity, cell)), "roots")
     linked = reps.select("id", "r").join(roots, F.col("id") == F.col("node")).groupBy("root").agg(F.min("r").alias("r"))
     alone = reps.select("id").join(roots.select(F.col("node").alias("id")), "id", "left_anti")
-    kept = alone.unionByName(linked.select(F.col("r.row").alias("id"))).select(F.col("id").alias(row))
-    return marked.join(written(kept, "kept"), row, "left_semi").select(*docs.columns)
+    kept = written(alone.unionByName(linked.select(F.col("r.row").alias("id"))).select(F.col("id").alias(row)), "kept")
+    dropped = written(marked.select(row).join(kept, row, "left_anti"), "dropped")
+    bitmap = spark.sparkContext.broadcast(sieve(dropped))
+    rows = marked.select(row, *docs.columns)
+    doubtful = sifted(rows, row, bitmap).join(dropped.hint("merge"), row, "left_anti")
+    return sifted(rows, row, bitmap, inside=False).unionByName(doubtful).select(*docs.columns)
