@@ -160,3 +160,30 @@ def test_op5_and_op9_on_the_small_table(spark, small):
         want.append((d, at, len(raw) // 4, zlib.crc32(raw)))
         at += len(raw) // 4
     assert sorted(tuple(r) for r in op9_token_files(spark, small).collect()) == want
+
+
+def test_memo_looks_a_part_up_once_for_many_texts():
+    """Lookups in the large memo grow with the different parts of a block, not with its words."""
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *a):
+            Counted.asked += 1
+            return dict.get(self, *a)
+
+    memo = tokenization.WordMemo(BYTE, True, "<u4")
+    memo.young = Counted()
+    texts = ["the same few words and the same few words " * 20] * 30 + ["other words"]
+    for _ in range(2):
+        assert memo.encode_all(texts) == [ids_of(BYTE, t, None) for t in texts]
+    assert Counted.asked <= 2 * 12
+
+
+def test_a_worker_holds_one_memo_at_a_time():
+    from voxframe.llm import _common, quality
+
+    quality.buckets([b"a", b"b"])
+    first = tokenization.memo(BYTE, True, "<u2")
+    assert tokenization.memo(BYTE, True, "<u2") is first and list(_common._HELD.values()) == [first]
+    assert len(quality.buckets([b"a", b"b"])) == 3 and first not in _common._HELD.values()

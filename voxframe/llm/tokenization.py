@@ -11,10 +11,11 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from itertools import repeat
 
 import numpy as np
 
+from ._common import held
+
 #: White space, as the vocabularies' own patterns have it, and characters that are sure to be letters, or sure not to be,
 #: in any Unicode version.
 _WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -54,7 +55,7 @@ class WordMemo:
     frequent words are never learned anew.
     """
 
-    def __init__(self, path: str, leading_space: bool, dtype: str = "<u4", limit: int = 1_200_000):
+    def __init__(self, path: str, leading_space: bool, dtype: str = "<u4", limit: int = 900_000):
         self.tokenizer, self.dtype, self.half = load(path), np.dtype(dtype), limit // 2
         added = self.tokenizer.get_added_tokens_decoder()
         self.special = {t.content: np.array([i], self.dtype).tobytes() for i, t in added.items()}
@@ -100,22 +101,26 @@ class WordMemo:
             known[part] = array(kind, found.ids).tobytes()
 
     def _block(self, texts: list[str]) -> list[bytes]:
-        """Ids of some texts without special strings."""
+        """Ids of some texts without special strings. Each different part is looked up once in the memo, and after that
+        in a small table of these texts alone, which a processor's cache can hold."""
         cut = [self.parts(t) for t in texts]
-        get = self.young.get
-        found = [list(map(get, c, repeat(b""))) for c in cut]
-        missing = {p for c, f in zip(cut, found) if not all(f) for p, v in zip(c, f) if not v}
-        if len(self.young) + len(missing) > self.half:
-            self.old, self.young = self.young, {}  # what was found already stays in ``found``
-        young, old = self.young, self.old
-        known = missing.intersection(old) if old else ()
-        young.update((p, old[p]) for p in known)
-        new = missing.difference(known)
-        if new:
-            self.learn(list(new))
-        return [b"".join(f if all(f) else [v or young[p] for p, v in zip(c, f)]) for c, f in zip(cut, found)]
-
-    def encode_all(self, texts: list[str | None], block: int = 128) -> list[bytes]:
+        need = list(set().union(*cut))
+        found = dict(zip(need, map(self.young.get, need)))
+        missing = {p for p, v in found.items() if v is None}
+        if missing:
+            if len(self.young) + len(missing) > self.half:
+                self.old, self.young = self.young, {}  # what was found already stays in ``found``
+            young, old = self.young, self.old
+            known = missing.intersection(old) if old else ()
+            young.update((p, old[p]) for p in known)
+            new = missing.difference(known)
+            if new:
+                self.learn(list(new))
+            found.update((p, young[p]) for p in missing)
+        get = found.__getitem__
+        return [b"".join(map(get, c)) for c in cut]
+
+    def encode_all(self, texts: list[str | None], block: int = 512) -> list[bytes]:
         out: list[bytes] = []
         for at in range(0, len(texts), block):
             some = [t or "" for t in texts[at : at + block]]
@@ -129,15 +134,9 @@ class WordMemo:
         return out
 
 
-_MEMOS: dict[tuple, WordMemo] = {}
-
-
 def memo(path: str, leading_space: bool, dtype: str = "<u4") -> WordMemo:
     """One memo per Python worker; workers are reused between tasks."""
-    key = (path, leading_space, dtype)
-    if key not in _MEMOS:
-        _MEMOS[key] = WordMemo(path, leading_space, dtype)
-    return _MEMOS[key]
+    return held(("tokens", path, leading_space, dtype), lambda: WordMemo(path, leading_space, dtype))
 
 
 def vocabulary_path(name: str) -> str:
