@@ -39,11 +39,11 @@ def definitions() -> dict[str, tuple[str, str, str]]:
 
 
 def register(spark: SparkSession) -> None:
-    from pyspark.sql.pandas.functions import pandas_udf
+    from pyspark.sql.pandas.functions import arrow_udf
 
     from voxframe.operators import alignment
 
     for name, (parameters, result, body) in definitions().items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {result} RETURN {body}")
     for name, f, kind in (("vx_align", alignment.align_words, alignment.RESULT), ("vx_word_distance", alignment.word_distance, "long")):
-        spark.udf.register(name, pandas_udf(f.__wrapped__, kind))
+        spark.udf.register(name, arrow_udf(f.__wrapped__, kind))

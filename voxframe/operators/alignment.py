@@ -1,7 +1,8 @@
 """Word alignment, error counts and dictionary-assisted correction.
 
-Alignment is quadratic and sequential, so it runs in an Arrow-batched UDF on numpy rows: a row of the distance matrix is
-one running minimum. Among the alignments of least distance the one is taken that, walked from the end, prefers a
+Alignment is quadratic and sequential, so it runs in UDFs of Arrow arrays, on the matrices of many pairs of similar size
+at once: an antidiagonal of all of them is one step, and so is a step of all walks back. A pair whose matrix is over CELLS
+takes its rows one by one, each one running minimum. Among the alignments of least distance the one is taken that, walked from the end, prefers a
 deletion to an insertion and that to a match or substitution, after common words at both ends are set aside. Of matrices
 over CELLS only some rows are kept, and those between are made again as the walk gets there: the same path, with memory
 of some 2 * sqrt(rows) rows.
@@ -16,14 +17,19 @@ from math import isqrt
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxframe.functions import fixed_values as V
-from voxframe.functions.lazy import pandas_udf
+from voxframe.functions.lazy import arrow_udf, pandas_udf
 
-#: Cells of a matrix that is kept whole for the walk back.
+#: Cells of a matrix that is kept whole for the walk back; of all matrices that are made at once.
 CELLS = 4_000_000
+#: Words of the pairs that are looked at together.
+WORDS = 1_000_000
+OPS = ("equal", "substitute", "insert", "delete")
 CHUNKS = "array<struct<op: string, rs: int, re: int, hs: int, he: int>>"
 RESULT_STRUCT = f"struct<hits: int, sub: int, ins: int, del: int, wer: double, chunks: {CHUNKS}>"
 RESULT = f"hits int, sub int, ins int, del int, wer double, chunks {CHUNKS}"
@@ -108,19 +114,175 @@ def counts(chunks: list[tuple[str, int, int, int, int]]) -> tuple[int, int, int,
     return n["equal"], n["substitute"], n["insert"], n["delete"], (n["substitute"] + n["insert"] + n["delete"]) / words if words else None
 
 
-@pandas_udf(RESULT, once=True)
-def align_words(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
-    rows = []
-    for r, h in zip(ref, hyp):
-        chunks = align(list(r) if r is not None else [], list(h) if h is not None else [])
-        rows.append((*counts(chunks), [dict(zip(("op", "rs", "re", "hs", "he"), c)) for c in chunks]))
-    return pd.DataFrame(rows, columns=["hits", "sub", "ins", "del", "wer", "chunks"])
-
-
-@pandas_udf("long")
-def word_distance(ref: pd.Series, hyp: pd.Series) -> pd.Series:
-    """The distance alone: memory is one row."""
-    return pd.Series([distance(*_numbers(r, h)) for r, h in zip(ref, hyp)], dtype="int64")
+class _Pairs:
+    """Pairs of word lists as numbers: ``words``, and where each list starts and how long it is. Nulls are empty lists."""
+
+    def __init__(self, ref: pa.Array, hyp: pa.Array):
+        self.n, self.m = (pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False).astype(np.int64) for x in (ref, hyp))
+        both = pa.concat_arrays([ref.flatten(), hyp.flatten()]).dictionary_encode(null_encoding="encode")
+        self.words = np.append(both.indices.to_numpy(), -1)  # one more, so that there is always one
+        self.a = np.cumsum(self.n) - self.n
+        self.b = np.cumsum(self.m) - self.m + self.n.sum()
+
+    def __len__(self) -> int:
+        return len(self.n)
+
+    def one(self, r: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.words[self.a[r] : self.a[r] + self.n[r]], self.words[self.b[r] : self.b[r] + self.m[r]]
+
+    def _common(self, a: np.ndarray, b: np.ndarray, n: np.ndarray, way: int) -> np.ndarray:
+        """How many words from places a and b on are the same, of n at most."""
+        starts = np.cumsum(n) - n
+        i = np.arange(n.sum()) - np.repeat(starts, n)
+        differ = np.append(np.flatnonzero(self.words[np.repeat(a, n) + way * i] != self.words[np.repeat(b, n) + way * i]), len(i))
+        return np.minimum(differ[np.searchsorted(differ, starts)] - starts, n)
+
+    def strip(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sets common words at both ends aside: how many."""
+        least = np.minimum(self.n, self.m)
+        head = self._common(self.a, self.b, least, 1)
+        tail = self._common(self.a + self.n - 1, self.b + self.m - 1, least - head, -1)
+        self.a, self.b, self.n, self.m = self.a + head, self.b + head, self.n - head - tail, self.m - head - tail
+        return head, tail
+
+    def large(self) -> np.ndarray:
+        """Pairs that take their rows one by one."""
+        return np.flatnonzero((self.n + self.m + 1) * (self.n + 1) > CELLS)
+
+    def matrices(self, way: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs' numbers and their distance matrices, of all that are not large: d[i + j, i, pair]. way: -1 from the ends."""
+        order = np.lexsort((self.m, self.n))
+        order = order[(self.n[order] + self.m[order] + 1) * (self.n[order] + 1) <= CELLS]
+        first = 0
+        while first < len(order):
+            # pairs come by n, and so does what a pair more needs
+            some = order[first : first + 512]
+            cells = (self.n[some] + np.maximum.accumulate(self.m[some]) + 1) * (self.n[some] + 1) * np.arange(1, len(some) + 1)
+            some = some[: max(1, int(np.searchsorted(cells, CELLS // 2, "right")))]
+            first += len(some)
+            yield some, self._matrix(some, way)
+
+    def _side(self, starts: np.ndarray, sizes: np.ndarray, way: int, none: int) -> np.ndarray:
+        i = np.arange(sizes.max())[:, None]
+        places = starts + i if way > 0 else starts + sizes - 1 - i
+        return np.where(i < sizes, self.words[np.clip(places, 0, len(self.words) - 1)], none)
+
+    def _matrix(self, some: np.ndarray, way: int) -> np.ndarray:
+        a = self._side(self.a[some], self.n[some], way, -1)
+        b = np.ascontiguousarray(self._side(self.b[some], self.m[some], way, -2)[::-1])
+        n, m = len(a), len(b)
+        d = np.empty((n + m + 1, n + 1, len(some)), np.int16 if n + m < 32_000 else np.int32)
+        for k in range(n + m + 1):
+            if k <= m:
+                d[k, 0] = k
+            if k <= n:
+                d[k, k] = k
+            lo, hi = max(1, k - m), min(n, k - 1) + 1
+            if lo < hi:
+                here = d[k, lo:hi]
+                np.minimum(d[k - 1, lo - 1 : hi - 1], d[k - 1, lo:hi], out=here)
+                here += 1
+                np.minimum(here, d[k - 2, lo - 1 : hi - 1] + (a[lo - 1 : hi - 1] != b[m - k + lo : m - k + hi]), out=here)
+        return d
+
+    def walks(self, some: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Steps back from the pairs' last cells, ops[step, pair], and how many."""
+        _, width, count = d.shape
+        flat, row = d.reshape(-1), width * count
+        ops = np.zeros((int((self.n[some] + self.m[some]).max()), count), np.int8)
+        taken = np.zeros(count, np.int64)
+        pair = np.flatnonzero(self.n[some] + self.m[some])
+        i, j = self.n[some][pair], self.m[some][pair]
+        for step in range(len(ops)):
+            at = (i + j) * row + i * count + pair
+            here = flat[at]
+            deleted = (i > 0) & (here == flat[at - row - count] + 1)
+            inserted = ~deleted & (j > 0) & (here == flat[at - row] + 1)
+            same = here == flat[at - 2 * row - count]
+            ops[step, pair] = np.where(deleted, 3, np.where(inserted, 2, np.where(same, 0, 1)))
+            i, j = i - ~inserted, j - ~deleted
+            more = i + j > 0
+            if not more.all():
+                taken[pair[~more]] = step + 1
+                pair, i, j = pair[more], i[more], j[more]
+                if not len(pair):
+                    break
+        return ops, taken
+
+
+def _parts(ref: pa.Array, hyp: pa.Array) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Consecutive pairs, so many that their words are some WORDS; empty arrays are a part."""
+    words = np.cumsum(sum(pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False).astype(np.int64) for x in (ref, hyp)))
+    cuts = [0, *(np.flatnonzero(np.diff(words // WORDS)) + 1).tolist(), len(ref)]
+    for x, y in zip(cuts, cuts[1:]):
+        yield ref.slice(x, y - x), hyp.slice(x, y - x)
+
+
+def _ops(pairs: _Pairs) -> tuple[np.ndarray, np.ndarray]:
+    """The steps of all pairs' alignments, one pair's after the other's, and how many each has."""
+    head, tail = pairs.strip()
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    sizes = head + tail
+    for some, d in pairs.matrices():
+        ops, taken = pairs.walks(some, d)
+        found.append((some, ops, taken))
+        sizes[some] += taken
+    code = {op: i for i, op in enumerate(OPS)}
+    for r in pairs.large():
+        ops = np.array([[code[op]] for op in _walk(*pairs.one(r))[::-1]], np.int8)
+        found.append((np.array([r]), ops, np.array([len(ops)])))
+        sizes[r] += len(ops)
+    starts = np.cumsum(sizes) - sizes
+    out = np.zeros(sizes.sum(), np.int8)
+    for some, ops, taken in found:
+        step = np.arange(len(ops))[:, None]
+        there = step < taken
+        out[(starts[some] + head[some] + taken - 1 - step)[there]] = ops[there]
+    return out, sizes
+
+
+def _aligned(ref: pa.Array, hyp: pa.Array) -> pa.StructArray:
+    ops, sizes = _ops(_Pairs(ref, hyp))
+    starts = np.cumsum(sizes) - sizes
+    pair = np.repeat(np.arange(len(sizes)), sizes)
+    new = np.ones(len(ops), bool)
+    new[1:] = (ops[1:] != ops[:-1]) | (pair[1:] != pair[:-1])
+    first = np.flatnonzero(new)
+    after = np.append(first[1:], len(ops))
+    places = []
+    for other in (2, 3):  # words of ref, which insertions have none of, and of hyp
+        words = np.concatenate([[0], np.cumsum(ops != other)])
+        own = words[starts[pair[first]]]
+        places += [pa.array((words[x] - own).astype(np.int32)) for x in (first, after)]
+    chunk = pa.StructArray.from_arrays([pa.array(OPS).take(pa.array(ops[first].astype(np.int32))), *places], ["op", "rs", "re", "hs", "he"])
+    offsets = np.searchsorted(first, np.append(starts, len(ops))).astype(np.int32)
+    n = np.bincount(pair * 4 + ops, minlength=4 * len(sizes)).reshape(-1, 4)
+    words = n[:, 0] + n[:, 1] + n[:, 3]
+    wer = pa.array((n[:, 1] + n[:, 2] + n[:, 3]) / np.maximum(words, 1), mask=words == 0)
+    counted = [pa.array(n[:, k].astype(np.int32)) for k in range(4)]
+    return pa.StructArray.from_arrays([*counted, wer, pa.ListArray.from_arrays(pa.array(offsets), chunk)], ["hits", "sub", "ins", "del", "wer", "chunks"])
+
+
+@arrow_udf(RESULT, once=True)
+def align_words(ref: pa.Array, hyp: pa.Array) -> pa.Array:
+    return pa.concat_arrays([_aligned(*part) for part in _parts(ref, hyp)])
+
+
+@arrow_udf("long")
+def word_distance(ref: pa.Array, hyp: pa.Array) -> pa.Array:
+    """The distance alone: memory of a large pair is one row."""
+    found = []
+    for part in _parts(ref, hyp):
+        pairs = _Pairs(*part)
+        pairs.strip()
+        out = np.zeros(len(pairs), np.int64)
+        for some, d in pairs.matrices():
+            n, m = pairs.n[some], pairs.m[some]
+            out[some] = d[n + m, n, np.arange(len(some))]
+        for r in pairs.large():
+            out[r] = distance(*pairs.one(r))
+        found.append(out)
+    return pa.array(np.concatenate(found))
 
 
 def trimmed_distances(a: np.ndarray, b: np.ndarray, trims: int) -> tuple[list[int], list[int]]:
