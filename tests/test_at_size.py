@@ -42,3 +42,17 @@ def test_pairs_are_aligned_together(monkeypatch):
     a, b = pa.array(ref, LISTS), pa.array(hyp, LISTS)
     alone = seconds(lambda: [A.align(x or [], y or []) for x, y in zip(ref, hyp)])
     assert seconds(lambda: A.align_words.__wrapped__(a, b)) < alone / 3
+
+
+def test_trims_are_measured_together(monkeypatch):
+    for cells, trims in ((A.CELLS, 6), (A.CELLS, 0), (60, 6)):
+        monkeypatch.setattr(A, "CELLS", cells)
+        ref, hyp = made_pairs(200, 14, "abcd")
+        a, b = pa.array(ref, LISTS), pa.array(hyp, LISTS)
+        want = [A.trimmed_distances(*A._numbers(x, y), trims) for x, y in zip(ref, hyp)]
+        assert [tuple(r.values()) for r in A.trims_udf(trims).__wrapped__(a, b).to_pylist()] == want
+    monkeypatch.undo()
+    ref, hyp = made_pairs(400, 160, "abcdefghijklmnopqrstuvwxyz")
+    a, b = pa.array(ref, LISTS), pa.array(hyp, LISTS)
+    alone = seconds(lambda: [A.trimmed_distances(*A._numbers(x, y), 6) for x, y in zip(ref, hyp)])
+    assert seconds(lambda: A.trims_udf(6).__wrapped__(a, b)) < alone / 3

@@ -16,14 +16,13 @@ from collections.abc import Iterator
 from math import isqrt
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxframe.functions import fixed_values as V
-from voxframe.functions.lazy import arrow_udf, pandas_udf
+from voxframe.functions.lazy import arrow_udf
 
 #: Cells of a matrix that is kept whole for the walk back; of all matrices that are made at once.
 CELLS = 4_000_000
@@ -299,13 +298,31 @@ def trimmed_distances(a: np.ndarray, b: np.ndarray, trims: int) -> tuple[list[in
     return cut_a[::-1], [int(row[m - t]) for t in range(min(trims, m) + 1)]
 
 
+def _trimmed(ref: pa.Array, hyp: pa.Array, trims: int) -> pa.StructArray:
+    pairs = _Pairs(ref, hyp)
+    t = np.arange(trims + 1)
+    out = np.zeros((2, len(pairs), trims + 1), np.int64)
+    for some, d in pairs.matrices(-1):
+        n, m, one = pairs.n[some][:, None], pairs.m[some][:, None], np.arange(len(some))[:, None]
+        i, j = np.maximum(n - t, 0), np.maximum(m - t, 0)
+        out[0, some], out[1, some] = d[i + m, i, one], d[n + j, n, one]
+    for r in pairs.large():
+        for side, found in enumerate(trimmed_distances(*pairs.one(r), trims)):
+            out[side, r, : len(found)] = found
+    sides = []
+    for size, found in zip((pairs.n, pairs.m), out):
+        there = t <= size[:, None]
+        offsets = np.concatenate([[0], np.cumsum(there.sum(1))]).astype(np.int32)
+        sides.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(found[there])))
+    return pa.StructArray.from_arrays(sides, ["cut_ref", "cut_hyp"])
+
+
 def trims_udf(trims: int):
     """(ref, hyp) -> distances by trimmed words of ref, and of hyp, from one matrix."""
 
-    @pandas_udf("cut_ref array<long>, cut_hyp array<long>", once=True)
-    def cuts(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
-        rows = [trimmed_distances(*_numbers(r, h), trims) for r, h in zip(ref, hyp)]
-        return pd.DataFrame(rows, columns=["cut_ref", "cut_hyp"])
+    @arrow_udf("cut_ref array<long>, cut_hyp array<long>", once=True)
+    def cuts(ref: pa.Array, hyp: pa.Array) -> pa.Array:
+        return pa.concat_arrays([_trimmed(*part, trims) for part in _parts(ref, hyp)])
 
     return cuts
 
