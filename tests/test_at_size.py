@@ -56,3 +56,20 @@ def test_trims_are_measured_together(monkeypatch):
     a, b = pa.array(ref, LISTS), pa.array(hyp, LISTS)
     alone = seconds(lambda: [A.trimmed_distances(*A._numbers(x, y), 6) for x, y in zip(ref, hyp)])
     assert seconds(lambda: A.trims_udf(6).__wrapped__(a, b)) < alone / 3
+
+
+def frame(spark, ref: list, hyp: list):
+    return spark.createDataFrame(list(zip(range(len(ref)), ref, hyp)), "k int, ref array<string>, hyp array<string>")
+
+
+def test_a_rows_own_errors_need_no_shuffle(spark):
+    rows = A.with_alignment(frame(spark, *made_pairs(60, 60, "abc")))
+    for k in (2, 20):
+        own = A.with_own_top(rows, k)
+        got = [(r.k, x.op, x.ref_text, x.hyp_text, x.cnt, i) for r in own.collect() for op in A.OPS for i, x in enumerate([x for x in r.top if x.op == op], 1)]
+        want = A.top_errors(A.errors(rows, ["k"]), ["k"], k).select("k", "op", "ref_text", "hyp_text", "cnt", "rank").collect()
+        assert sorted(got) == sorted(tuple(r) for r in want) and len(got) > 60
+    from voxframe.plans import reports
+
+    plan = reports.text_report(rows, ["k"])._jdf.queryExecution()
+    assert "Exchange" not in plan.executedPlan().toString() and plan.optimizedPlan().toString().count("ArrowEvalPython") == 2

@@ -333,12 +333,46 @@ def with_alignment(pairs: DataFrame, ref: str = "ref", hyp: str = "hyp") -> Data
     return pairs.withColumn("_a", align_words(F.col(ref), F.col(hyp))).select(*pairs.columns, "_a.*")
 
 
+def _top(found: pa.Array, k: int) -> pa.Array:
+    ops, ref, hyp = (x.dictionary_encode(null_encoding="encode") for x in found.flatten().flatten())
+    pair = np.repeat(np.arange(len(found)), pc.fill_null(pc.list_value_length(found), 0).to_numpy(zero_copy_only=False))
+    op, r, h = (x.indices.to_numpy().astype(np.int64) for x in (ops, ref, hyp))
+    _, texts = np.unique(r * max(1, len(hyp.dictionary)) + h, return_inverse=True)
+    group = pair * len(OPS) + op
+    _, first, cnt = np.unique(group * (len(texts) + 1) + texts, return_index=True, return_counts=True)
+    order = np.lexsort((first, -cnt, group[first]))
+    first, cnt = first[order], cnt[order]
+    own = group[first]
+    start = np.flatnonzero(np.append(True, own[1:] != own[:-1])[: len(own)])
+    kept = np.arange(len(own)) - np.repeat(start, np.diff(np.append(start, len(own)))) < k
+    first, cnt = first[kept], cnt[kept]
+    offsets = np.searchsorted(pair[first], np.arange(len(found) + 1)).astype(np.int32)
+    columns = [x.dictionary.take(pa.array(i[first])) for x, i in ((ops, op), (ref, r), (hyp, h))]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([*columns, pa.array(cnt)], ["op", "ref_text", "hyp_text", "cnt"]))
+
+
+def with_own_top(aligned: DataFrame, k: int = V.TOP, ref: str = "ref", hyp: str = "hyp") -> DataFrame:
+    """aligned with ``top``: (op, ref_text, hyp_text, cnt) of the k most frequent chunks of each kind in the row itself, by
+    kind and rank; what top_errors gives for keys that each row has alone, without a shuffle."""
+
+    @arrow_udf("array<struct<op: string, ref_text: string, hyp_text: string, cnt: long>>", once=True)
+    def top(found: pa.Array) -> pa.Array:
+        return _top(found, k)
+
+    wrong = F.filter("chunks", lambda c: c["op"] != "equal")  # in the order of their places
+    texts = lambda c: F.struct(c["op"].alias("op"), _part(ref, c["rs"], c["re"]).alias("ref_text"), _part(hyp, c["hs"], c["he"]).alias("hyp_text"))
+    return aligned.withColumn("top", top(F.transform(wrong, texts)))
+
+
+def _part(words: str, a, b) -> Column:
+    return F.array_join(F.slice(F.col(words), a + 1, b - a), " ")
+
+
 def errors(aligned: DataFrame, keys: list[str], ref: str = "ref", hyp: str = "hyp") -> DataFrame:
     """One row per erroneous chunk: keys, op, ref_text, hyp_text, position."""
     chunk = F.explode("chunks").alias("c")
     rows = aligned.select(*keys, ref, hyp, chunk).where(F.col("c.op") != "equal")
-    part = lambda words, a, b: F.array_join(F.slice(F.col(words), F.col(a) + 1, F.col(b) - F.col(a)), " ")
-    return rows.select(*keys, F.col("c.op").alias("op"), part(ref, "c.rs", "c.re").alias("ref_text"), part(hyp, "c.hs", "c.he").alias("hyp_text"), F.col("c.rs").alias("rs"), F.col("c.hs").alias("hs"))
+    return rows.select(*keys, F.col("c.op").alias("op"), _part(ref, F.col("c.rs"), F.col("c.re")).alias("ref_text"), _part(hyp, F.col("c.hs"), F.col("c.he")).alias("hyp_text"), F.col("c.rs").alias("rs"), F.col("c.hs").alias("hs"))
 
 
 def top_errors(found: DataFrame, keys: list[str], k: int = V.TOP) -> DataFrame:

@@ -19,12 +19,19 @@ def percent(c: Column) -> Column:
     return F.coalesce(F.format_string("%.2f %%", F.bround(c * 100, 2)), F.lit("n/a"))
 
 
-def _lines(top: DataFrame, keys: list[str]) -> DataFrame:
-    """Top errors of each kind as arrays of lines."""
-    line = F.when(F.col("op") == "substitute", F.format_string("%dx | %s => %s", "cnt", "ref_text", "hyp_text")).when(F.col("op") == "delete", F.format_string("%dx | %s", "cnt", "ref_text")).otherwise(F.format_string("%dx | %s", "cnt", "hyp_text"))
-    rows = top.select(*keys, "op", "rank", line.alias("line"))
-    sorted_lines = lambda op: F.transform(F.array_sort(F.collect_list(F.when(F.col("op") == op, F.struct("rank", "line")))), lambda x: x["line"])
-    return rows.groupBy(*keys).agg(*[sorted_lines(op).alias(f"top_{op}") for op in ("substitute", "delete", "insert")])
+def _lines(op: str, line) -> Column:
+    """Top errors of a kind as lines, of rows with ``top``."""
+    return F.transform(F.filter("top", lambda x: x["op"] == op), line)
+
+
+def _examples() -> Column:
+    """The most frequent substitution, deletion and insertion as lines, in this order."""
+    lines = {
+        "substitute": lambda x: F.format_string("SUB (%dx): '%s' -> '%s'", x["cnt"], x["ref_text"], x["hyp_text"]),
+        "delete": lambda x: F.format_string("DEL (%dx): '%s'", x["cnt"], x["ref_text"]),
+        "insert": lambda x: F.format_string("INS (%dx): '%s'", x["cnt"], x["hyp_text"]),
+    }
+    return F.concat(*[F.slice(_lines(op, line), 1, 1) for op, line in lines.items()])
 
 
 def _say(*parts) -> Column:
@@ -40,14 +47,13 @@ def _own(rows: DataFrame, name: str) -> Column:
     return F.coalesce(name, _none()) if name in rows.columns else _none()
 
 
-def _with_body(aligned: DataFrame, keys: list[str]) -> DataFrame:
-    """aligned with ``body``: lines of counts, warnings, examples, beginnings and ends, and top errors."""
-    top = A.top_errors(A.errors(aligned, keys), keys)
-    rows = aligned.join(_lines(top, keys), keys, "left").join(A.examples(top, keys), keys, "left")
+def _with_body(aligned: DataFrame) -> DataFrame:
+    """aligned with ``body``: lines of counts, warnings, examples, beginnings and ends, and top errors of each row."""
+    rows = A.with_own_top(aligned).withColumn("examples", _examples())
     warnings = _own(aligned, "warnings")
     listed = F.concat(_say("", "Warnings:"), F.transform(warnings, lambda x: F.concat(F.lit("- "), x)))
     warned = F.when(F.size(warnings) == 0, _none()).otherwise(listed)
-    shown = F.coalesce("examples", _none())
+    shown = F.col("examples")
     numbered = F.transform(shown, lambda x, i: F.format_string("%d. %s", i + 1, x))
     numbered = F.when(F.size(shown) == 0, _say("(Nenalezeny žádné ukázky)")).otherwise(numbered)
     ref, hyp = T.preview(F.col("ref")), T.preview(F.col("hyp"))
@@ -60,11 +66,11 @@ def _with_body(aligned: DataFrame, keys: list[str]) -> DataFrame:
         numbered,
         _say("", "Začátek srovnání:", *said("head"), "", "Konec srovnání:", *said("tail")),
         _say("", "Top substitutions:"),
-        F.coalesce("top_substitute", _none()),
+        _lines("substitute", lambda x: F.format_string("%dx | %s => %s", x["cnt"], x["ref_text"], x["hyp_text"])),
         _say("", "Top deletions:"),
-        F.coalesce("top_delete", _none()),
+        _lines("delete", lambda x: F.format_string("%dx | %s", x["cnt"], x["ref_text"])),
         _say("", "Top insertions:"),
-        F.coalesce("top_insert", _none()),
+        _lines("insert", lambda x: F.format_string("%dx | %s", x["cnt"], x["hyp_text"])),
     )
     return rows.withColumn("body", body)
 
@@ -74,9 +80,9 @@ def _joined(lines: Column) -> Column:
 
 
 def text_report(aligned: DataFrame, keys: list[str], title: str = "ASR Evaluation Report") -> DataFrame:
-    """keys, report. aligned has ref, hyp, hits, sub, ins, del, wer, chunks; it may have lines of its own as arrays: ``head``
-    before the figures, ``stats`` after the rate, ``warnings``. It is read several times: pass a written table."""
-    rows = _with_body(aligned, keys)
+    """keys, report, a row for each of aligned. It has ref, hyp, hits, sub, ins, del, wer, chunks; it may have lines of its own
+    as arrays: ``head`` before the figures, ``stats`` after the rate, ``warnings``. It is read once."""
+    rows = _with_body(aligned)
     rate = F.concat(F.lit("WER: "), percent(F.col("wer")))
     lines = F.concat(_say(title, WIDE), _own(aligned, "head"), _say(THIN, rate), _own(aligned, "stats"), "body")
     return rows.select(*keys, _joined(lines).alias("report"))
@@ -100,7 +106,7 @@ def speaker_report(aligned: DataFrame, keys: list[str], title: str = "ASR Speake
     roles = V.EVAL_ROLES
     figures = [by_role(c, r).alias(f"{c}_{r}") for c in ("wer", "channel") for r in roles]
     by_roles = told.groupBy(*keys).agg(*figures)
-    rows = _with_body(aligned.where("mapping = 'length'"), [*keys, "role"])
+    rows = _with_body(aligned.where("mapping = 'length'"))
     # The labels of a speaker's section and of the report.
     section = F.concat(
         _say(
