@@ -73,3 +73,39 @@ def test_a_rows_own_errors_need_no_shuffle(spark):
 
     plan = reports.text_report(rows, ["k"])._jdf.queryExecution()
     assert "Exchange" not in plan.executedPlan().toString() and plan.optimizedPlan().toString().count("ArrowEvalPython") == 2
+
+
+def exchanges(plan) -> list[tuple[str, str]]:
+    """Schema and partitioning of each shuffle below a plan's node."""
+    own = [(plan.schema().simpleString(), plan.outputPartitioning().toString())] if plan.nodeName() == "Exchange" else []
+    return own + [x for i in range(plan.children().size()) for x in exchanges(plan.children().apply(i))]
+
+
+def test_texts_are_not_dealt_by_words(spark):
+    """A map too large to broadcast, and a word that is heard in every text: texts stay dealt by their keys."""
+    ref, hyp = made_pairs(80, 30, "abcdefgh")
+    hyp = [x and ["zz" if i % 3 == 1 else w for i, w in enumerate(x)] for x in hyp]
+    mapping = spark.createDataFrame([("a", "zz"), ("b", "c")], "variant string, canonical string")
+    rows = A.with_alignment(frame(spark, ref, hyp)).localCheckpoint()
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        spark.conf.set(names[0], "-1")
+        spark.conf.set(names[1], "false")
+        found = A.apply_variants(rows, mapping, ["k"])
+        dealt = exchanges(found._jdf.queryExecution().executedPlan())
+        assert dealt and all("array<" not in schema or by.startswith(("hashpartitioning(k#", "hashpartitioning(coalesce(k#")) for schema, by in dealt)
+        got = {r.k: r for r in found.collect()}
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+    form = {"a": "zz", "b": "c"}
+    for r in rows.collect():
+        want, said = list(r.hyp or []), 0
+        for c in r.chunks:
+            for i in range(c.re - c.rs) if c.op == "substitute" else ():
+                x, y = r.ref[c.rs + i], r.hyp[c.hs + i]
+                if form.get(x, x) == form.get(y, y):
+                    want[c.hs + i], said = x, said + 1
+        assert (got[r.k].corrected or [], got[r.k].tokens_replaced) == (want, said)
+    assert len(got) == 80 and sum(r.tokens_replaced for r in got.values()) > 10

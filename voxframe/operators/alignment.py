@@ -13,7 +13,9 @@ An empty reference has no error rate: wer is null, all hypothesis words are inse
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from math import isqrt
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -398,21 +400,22 @@ def apply_variants(aligned: DataFrame, mapping: DataFrame, keys: list[str], ref:
     """aligned with corrected (hyp in which substituted words that a map holds for the same are said as in ref),
     spans_checked and tokens_replaced.
 
-    mapping: variant, canonical (unique variants). Substituted words are looked up as rows and gathered again by key; a
-    pair's other columns travel with its first word, so the alignment is read once and not joined with itself. Spark
-    broadcasts the map if it is small enough.
+    mapping: variant, canonical (unique variants). Different pairs of words are looked up, once each, so a word that is
+    heard everywhere is one row a partner, and the texts go through one shuffle by key alone. aligned is read several times:
+    pass a written table. Spark broadcasts the map if it is small enough.
     """
     same_size = F.filter("chunks", lambda c: (c["op"] == "substitute") & (c["re"] - c["rs"] == c["he"] - c["hs"]))
     each = lambda c: F.transform(F.sequence(F.lit(0), c["re"] - c["rs"] - 1), lambda i: F.struct((c["hs"] + i).alias("at"), F.element_at(F.col(ref), c["rs"] + i + 1).alias("word"), F.element_at(F.col(hyp), c["hs"] + i + 1).alias("said")))
-    others = [c for c in aligned.columns if c not in keys]
-    rows = aligned.select(*keys, F.struct(*others).alias("_row"), F.posexplode_outer(F.flatten(F.transform(same_size, each))).alias("_i", "_x"))
-    rows = rows.withColumn("_row", F.when(F.coalesce("_i", F.lit(0)) == 0, F.col("_row")))
+    names = [f"_k{i}" for i in range(len(keys))]
+    words = aligned.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.explode(F.flatten(F.transform(same_size, each))).alias("_x")).select(*names, "_x.*").where("word != said")
     left = mapping.select(F.col("variant").alias("_v1"), F.col("canonical").alias("_c1"))
     right = mapping.select(F.col("variant").alias("_v2"), F.col("canonical").alias("_c2"))
-    rows = rows.join(left, F.lower("_x.word") == F.col("_v1"), "left").join(right, F.lower("_x.said") == F.col("_v2"), "left")
-    same = (F.coalesce("_c1", F.lower("_x.word")) == F.coalesce("_c2", F.lower("_x.said"))) & (F.col("_x.word") != F.col("_x.said"))
-    fix = F.when(same, F.struct("_x.at", "_x.word"))
-    out = rows.groupBy(*keys).agg(F.first("_row", True).alias("_row"), F.map_from_entries(F.collect_list(fix)).alias("_fix")).select(*keys, "_row.*", "_fix")
+    found = words.select("word", "said").distinct().join(left, F.lower("word") == F.col("_v1"), "left").join(right, F.lower("said") == F.col("_v2"), "left")
+    same = found.where(F.coalesce("_c1", F.lower("word")) == F.coalesce("_c2", F.lower("said"))).select("word", "said")
+    fixes = words.join(same, ["word", "said"]).groupBy(*names).agg(F.map_from_entries(F.collect_list(F.struct("at", "word"))).alias("_fix"))
+    on = reduce(and_, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)])
+    out = aligned.join(fixes, on, "left").drop(*names)
+    replaced = F.when(F.col("_fix").isNull(), 0).otherwise(F.size("_fix"))
     fixed = F.transform(F.col(hyp), lambda w, i: F.coalesce(F.try_element_at(F.col("_fix"), i), w))
     spans = F.size(F.filter("chunks", lambda c: c["op"] == "substitute"))
-    return out.withColumn("corrected", F.when(F.size("_fix") == 0, F.col(hyp)).otherwise(fixed)).withColumn("spans_checked", spans).withColumn("tokens_replaced", F.size("_fix")).drop("_fix")
+    return out.withColumn("corrected", F.when(F.col("_fix").isNull(), F.col(hyp)).otherwise(fixed)).withColumn("spans_checked", spans).withColumn("tokens_replaced", replaced).drop("_fix")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from voxframe.functions import fixed_values as V
 from voxframe.functions import text as T
 from voxframe.operators import alignment as A
+from voxframe.plans.storage import kept
 
 METRICS = ["hits", "sub", "ins", "del", "wer"]
 
@@ -33,7 +34,8 @@ def corrected(pairs: DataFrame, mapping: DataFrame, keys: list[str], name: str)
     """One dictionary pass: pairs with an alignment, hyp corrected where that is not worse.
 
     Adds name_checked, name_replaced, name_before, name_after and name_used. Pairs must hold hits.. and chunks of the
-    present hyp, and get those of the accepted one. Only pairs in which a word changed are aligned again.
+    present hyp, and get those of the accepted one. Only pairs in which a word changed are aligned again. Pairs are read
+    several times: pass a written table.
     """
     tried = A.apply_variants(pairs, mapping, keys)
     changed = F.col("tokens_replaced") > 0
@@ -100,7 +102,7 @@ def evaluate(pairs: DataFrame, keys: list[str], words: DataFrame | None = None,
     """Alignment, then the number map, then the word map, each accepted if not worse."""
     rows = A.with_alignment(pairs)
     if numbers is not None:
-        rows = corrected(rows, numbers, keys, "numbers")
+        rows = corrected(kept(rows), numbers, keys, "numbers")
     if words is not None:
-        rows = corrected(rows, words, keys, "words")
+        rows = corrected(kept(rows), words, keys, "words")
     return rows
